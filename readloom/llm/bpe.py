@@ -123,8 +123,12 @@ class Bpe:
 
     def letters(self, word: str) -> str:
         """The word in byte letters, with the end mark if the vocabulary has one."""
-        out = word if word.isascii() and word.isprintable() and " " not in word else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS)
-        return out + END if self.suffix else out
+        return self.mapped(word) + END if self.suffix else self.mapped(word)
+
+    @staticmethod
+    def mapped(word: str) -> str:
+        """A letter for each byte of the word."""
+        return word if word.isascii() and word.isprintable() and " " not in word else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece that the pattern cut."""
