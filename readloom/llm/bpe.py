@@ -79,7 +79,8 @@ class Bpe:
         self.joined: dict[tuple[int, int], int] = {}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         made = [a + b for a, b in pairs]
-        base = [t for t in self.vocab if t not in set(made)]
+        known = set(made)
+        base = [t for t in self.vocab if t not in known]
         for n, t in enumerate(base):
             self.order[self.vocab[t]] = n
         for n, ((a, b), t) in enumerate(zip(pairs, made, strict=True)):
