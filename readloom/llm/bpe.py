@@ -200,14 +200,14 @@ def model(path: str) -> Bpe:
 class Memo(dict):
     """What ``make`` gives for a word, kept for short words up to a number of entries."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word):
         value = self.make(word)
         if isinstance(word, int) or len(word) <= MEMO_WORD:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = value
         return value
@@ -216,8 +216,8 @@ class Memo(dict):
 _memos: dict[tuple, Memo] = {}
 
 
-def memo(kind: str, path: str, make) -> Memo:
-    return _memos.setdefault((kind, path), Memo(make))
+def memo(kind: str, path: str, make, most: int = MEMO) -> Memo:
+    return _memos.setdefault((kind, path), Memo(make, most))
 
 
 def encode_column(df: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

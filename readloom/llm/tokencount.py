@@ -29,8 +29,8 @@ from .bpe import Memo, model
 from .common import in_steps, map_batches, strings
 
 LIMIT = 1024
-#: Letters in a chunk; letters worked on at once; compiled states kept at once.
-CHUNK, STEP, STATES = 64, 1 << 20, 150_000
+#: Letters in a chunk; letters worked on at once; compiled states and composed pieces that a worker keeps at once.
+CHUNK, STEP, STATES, COMPOSED = 64, 1 << 20, 300_000, 1_000_000
 
 # Classes of letters.
 (SPACE, WHITE, LETTER, ONE, ER, E, ELL, NUMBER, QUOTE, OTHER, PAD) = range(11)
@@ -221,7 +221,7 @@ _memos: dict[str, Memo] = {}
 def count_texts(texts: list[str], path: str) -> list[int]:
     bpe = model(path)
     if path not in _memos:
-        _memos[path] = Memo(CountingBpe(path).count)
+        _memos[path] = Memo(CountingBpe(path).count, COMPOSED)
     words = _memos[path]
     whole: list[int] = []
     parts: list[str] = []
