@@ -13,6 +13,7 @@ A null id is packed like any other. Extra columns stay out.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -25,6 +26,8 @@ from .bpe import memo, model
 from .common import map_batches, materialize, strings
 
 SIZE, END_ID, OPEN_BINS, PER_PACKER = 4096, 1, 1024, 100_000
+#: Words whose ids a worker keeps.
+WORDS_KEPT = 600_000
 
 
 class BestFit:
@@ -65,14 +68,14 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, text: str = "text", id_co
     """doc_id, piece, start, length, ids_crc32: each document's ids, then END_ID, cut after every ``size`` ids."""
 
     def make():
-        bpe, end = model(path), np.array([END_ID], "<u4").tobytes()
+        bpe, end = model(path), struct.pack("<I", END_ID)
         library = Tokenizer.from_file(path).model  # the library's own model gives a word's ids
 
         def entry(piece):
             ids = [piece] if isinstance(piece, int) else [t.id for t in library.tokenize(bpe.mapped(piece))]
-            return np.array(ids, "<u4").tobytes()
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-        words = memo("bytes", path, entry)
+        words = memo("bytes", path, entry, WORDS_KEPT)
 
         def f(batch):
             doc, piece, start, length, crc = [], [], [], [], []
