@@ -11,16 +11,21 @@ replaced, others stay out (the id column and the results are returned).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import map_batches, strings
 
@@ -28,6 +33,9 @@ from .common import map_batches, strings
 MEMO, MEMO_WORD = 250_000, 64
 
 END = "\x00"
+#: No letter is newer to our tables than to the library's below this code point.
+LEAST_RARE = 0x500
+FIRST_MARK = 0x300
 
 
 def byte_letters() -> list[str]:
@@ -43,6 +51,32 @@ def byte_letters() -> list[str]:
 LETTERS = dict(enumerate(byte_letters()))
 
 
+@functools.cache
+def newer() -> str:
+    """Letters and numbers to our pattern engine but not to the library, whose Unicode tables are older."""
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    doubtful = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    return "".join(c for c in doubtful if len(split(f"b{c}b")) > 1 and len(split(f"1{c}1")) > 1)
+
+
+@functools.cache
+def rare() -> regex.Pattern | None:
+    """Finds a letter of newer()."""
+    ranges: list[list[int]] = []
+    for i in map(ord, newer()):
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]") if ranges else None
+
+
+def largest_unit(text: str) -> int:
+    """The largest UTF-16 code unit, which settles for nearly all texts that no table is needed."""
+    return 0 if text.isascii() else int(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).max())
+
+
 class Bpe:
     """A vocabulary file of the tokenizers library with a byte-level BPE model."""
 
@@ -63,6 +97,7 @@ class Bpe:
         self.pattern = regex.compile((own or r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").replace("[^\\s", "[^\\p{White_Space}").replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}"))
         steps = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
         self.nfc, self.lower = (any(s["type"] == k for s in steps) for k in ("NFC", "Lowercase"))
+        self.normalizer = Tokenizer.from_file(path).normalizer
         self._order(model["merges"])
         self.automaton = ahocorasick.Automaton()
         for token, i in self.vocab.items():
@@ -161,11 +196,19 @@ class Bpe:
         return ids[::-1]
 
     def normal(self, text: str) -> str:
-        if self.nfc and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if self.lower:
-            text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()  # letter by letter: no final sigma
-        return text
+        """Below the combining marks a text is composed as it stands; above, the library's own tables decide."""
+        if not (self.nfc or self.lower):
+            return text
+        if largest_unit(text) >= FIRST_MARK:
+            return self.normalizer.normalize_str(text)
+        return text.lower() if self.lower else text
+
+    def cut(self, text: str) -> list[str]:
+        """The pattern's pieces of a normal text."""
+        if rare() and largest_unit(text) >= LEAST_RARE and rare().search(text):
+            like = text.translate(dict.fromkeys(map(ord, newer()), "\uffff"))  # neither letter nor number
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(like)]
+        return self.pattern.findall(text)
 
     def pieces(self, text: str) -> Iterable[str | int]:
         """The text's words in order; added tokens as their ids."""
@@ -175,9 +218,9 @@ class Bpe:
                 if part in self.added:
                     out.append(self.added[part])
                 elif part:
-                    out += self.pattern.findall(self.normal(part))
+                    out += self.cut(self.normal(part))
             return out
-        return self.pattern.findall(self.normal(text))
+        return self.cut(self.normal(text))
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in ([p] if isinstance(p, int) else self.encode_word(p))]

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, model
+from .bpe import Memo, model, newer
 from .common import in_steps, map_batches, strings
 
 LIMIT = 1024
@@ -45,8 +45,8 @@ def classes() -> np.ndarray:
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for pattern, k in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\p{White_Space}", WHITE)):
         out[[ord(c) for c in regex.findall(pattern, every)]] = k
-    for text, k in ((" ", SPACE), ("stmd", ONE), ("rv", ER), ("e", E), ("l", ELL), ("'", QUOTE)):
-        out[[ord(c) for c in text]] = k
+    for text, k in ((newer(), OTHER), (" ", SPACE), ("stmd", ONE), ("rv", ER), ("e", E), ("l", ELL), ("'", QUOTE)):
+        out[[ord(c) for c in text] or slice(0)] = k
     return out
 
 
