@@ -83,6 +83,14 @@ def _avgqual_pre(cfg, seq, qual, offset, wanted):
 KERNEL: dict[str, Callable] = {"kmer": _kmer, "adapter": _adapter, "avgqual_pre": _avgqual_pre, "slider": _slider}
 
 
+def _once(udf):
+    """Keeps Catalyst from copying the function into a filter on its result, which would run it twice on every batch.
+
+    The price: filters on other columns stay above it as well, so apply those to the reads beforehand.
+    """
+    return udf.asNondeterministic()
+
+
 def kernel_windows(cfg: TrimConfig, modules: list[str], wanted: list[str], sums: bool = False) -> Callable[..., Column]:
     """An Arrow function (seq, qual, offset, valid) -> struct with <module>_l, <module>_r, and hit and qsum where asked for."""
     modules = [m for m in modules if m in KERNEL]
@@ -107,7 +115,7 @@ def kernel_windows(cfg: TrimConfig, modules: list[str], wanted: list[str], sums:
             columns.append(pa.array(kernels.quality_sums(q, base), mask=bad))
         return pa.StructArray.from_arrays(columns, names=names)
 
-    return F.arrow_udf(run, ", ".join(f"{n} {'long' if n == 'qsum' else 'int'}" for n in names))
+    return _once(F.arrow_udf(run, ", ".join(f"{n} {'long' if n == 'qsum' else 'int'}" for n in names)))
 
 
 def window_sums() -> Callable[..., Column]:
@@ -121,7 +129,7 @@ def window_sums() -> Callable[..., Column]:
         base, a, b = (x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (offset, left, right))
         return pa.array(kernels.quality_sums(q, base, a, b), mask=~good.to_numpy(zero_copy_only=False))
 
-    return F.arrow_udf(run, "long")
+    return _once(F.arrow_udf(run, "long"))
 
 
 def overlap_size(cfg: TrimConfig) -> Callable[..., Column]:
@@ -135,4 +143,4 @@ def overlap_size(cfg: TrimConfig) -> Callable[..., Column]:
         size = kernels.overlap(a, b, cfg.overlap_mismatches, cfg.overlap_min_length, cfg.overlap_portion_mismatch)
         return pa.array(size.astype(np.int32), mask=(size < 0) | ~good.to_numpy(zero_copy_only=False))
 
-    return F.arrow_udf(run, "int")
+    return _once(F.arrow_udf(run, "int"))
