@@ -65,7 +65,15 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = shared_dir(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._readloom_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes a table that materialize() wrote and nothing reads any more."""
+    if path := getattr(df, "_readloom_path", None):
+        remove(df.sparkSession, path)
 
 
 def in_steps(lengths: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:

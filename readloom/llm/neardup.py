@@ -12,7 +12,8 @@ A document's set is its distinct five-word shingles (fewer words: the whole sequ
    made of little else.
 4. Each list names one of its classes as hub, by one order for all lists; members in other components are compared with
    the hub. Rounds with new orders go on while that joins groups and many pairs across components are left.
-   Then all pairs across components that still share a list are compared. No list or group is capped.
+   Then all pairs across components that still share a list are compared: those of short lists one by one, what long
+   lists connect in blocks, by exact intersections as matrix products. No list or group is capped.
 5. Comparing: the estimate from the union's sketch rejects at 5.5 standard deviations; exact set sizes decide.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with a null id take no part (component null).
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_steps, map_batches, materialize, utf8
+from .common import discard, in_steps, map_batches, materialize, utf8
 from .textops import Words
 
 WORDS, K, PROBE, PERCENT = 5, 64, 16, 75
 ROUNDS = 8
+#: Members of a list whose pairs are made one by one; members of a block; columns of a block's matrix.
+SHORT, BLOCK, COLUMNS = 32, 512, 4096
 
 
 def needed(k: int) -> int:
@@ -108,9 +111,9 @@ def near_sizes(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that are linked, as a written table. classes: node, n, sketch, shingles."""
-    side = {x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("shingles").alias(f"w_{x}")) for x in "ab"}
+def verified(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) that are linked, as a written table. sets: node, n, sketch, shingles."""
+    side = {x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("shingles").alias(f"w_{x}")) for x in "ab"}
     both = F.array_intersect("s_a", "s_b")
     union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
     likely = materialize(
@@ -158,56 +161,140 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def links(classes: DataFrame, k: int = K, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that decide the components, and the components (node, comp)."""
-    spark = classes.sparkSession
-    lists = listed(classes, k)
-    size = lists.count()
+def link_rounds(lists: DataFrame, sets: DataFrame, k: int, rounds: int) -> DataFrame | None:
+    """node, comp for every class that is linked with another; None if none is."""
+    spark = lists.sparkSession
+    size, before = lists.count(), math.inf
     edges, labels = None, None
     for turn in range(rounds + 1):
-        if labels is None:
-            placed = lists.withColumn("comp", F.col("node"))
-        else:
+        placed = lists.withColumn("comp", F.col("node"))
+        if labels is not None:
             placed = materialize(lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        across = placed.groupBy("value", "comp").agg(F.count("*").alias("m")).groupBy("value").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("pairs > 0")
+        # Per list: members, and pairs of members in different components.
+        across = placed.groupBy("value", "comp").agg(F.count("*").alias("m")).groupBy("value").agg(F.sum("m").alias("members"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("pairs > 0")
         left = across.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        # Star comparisons while they pay; then every pair that is left.
-        last = turn == rounds or (turn > 0 and (left <= 2 * size or merged == 0))  # noqa: F821
+        last = turn == rounds or (turn > 0 and (left <= 2 * size or left > 0.8 * before))
+        before = left
         other = placed.select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
         if last:
-            open_lists = placed.join(across.select("value"), "value", "left_semi") if labels is not None else placed
-            met = open_lists.join(other, "value").where((F.col("node") < F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & near_sizes("n", "hub_n"))
+            found = rest(placed, materialize(across), other, sets, k)
         else:
             hubs = other.groupBy("value").agg(F.min(F.struct(F.xxhash64("hub", F.lit(turn)).alias("h"), "hub", "hub_n", "hub_comp")).alias("x")).select("value", "x.*")
             met = placed.join(hubs, "value").where((F.col("comp") != F.col("hub_comp")) & near_sizes("n", "hub_n"))
-        pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-        found = verified(pairs, classes, k)
-        merged = found.count()
-        if merged:
+            found = verified(distinct_pairs(met), sets, k)
+        if not found.isEmpty():
             edges = found if edges is None else edges.union(found)
             labels = components(edges)
-        del placed, across, other, met, pairs
+        del placed, across, other
         release(spark)
         if last:
             break
-    if edges is None:
-        edges = spark.createDataFrame([], "a long, b long")
-        labels = spark.createDataFrame([], "node long, comp long")
-    return edges, labels
+    return labels
+
+
+def distinct_pairs(met: DataFrame) -> DataFrame:
+    return materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+
+
+def rest(placed: DataFrame, across: DataFrame, other: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) among the pairs in different components that still share a list, of which none is left out.
+
+    Short lists give their pairs. Members of long lists would meet in list after list: what long lists connect is one
+    cluster, whose members meet once, in blocks.
+    """
+    short = placed.join(across.where(F.col("members") <= SHORT).select("value"), "value")
+    met = short.join(other, "value").where((F.col("node") < F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & near_sizes("n", "hub_n"))
+    found = verified(distinct_pairs(met), sets, k)
+    long = materialize(placed.join(across.where(F.col("members") > SHORT).select("value"), "value"))
+    if long.isEmpty():
+        return found
+    heads = long.groupBy("value").agg(F.min("node").alias("b"))
+    clusters = components(long.join(heads, "value").select(F.col("node").alias("a"), "b").distinct())
+    members = long.select("node", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node")
+    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
+    large = sizes.where(F.col("m") >= BLOCK).withColumn("part", F.col("comp"))
+    small = sizes.where(F.col("m") < BLOCK).groupBy("cluster").agg(F.sum("m").alias("small"))
+    # A block holds members of one large component, or whole small ones by a hash: blocks of one component don't meet.
+    blocked = materialize(
+        members.join(large, ["cluster", "comp"], "left").join(small, "cluster", "left").select(
+            "cluster", "node", "comp", F.coalesce("part", F.lit(-1)).alias("part"),
+            F.when(F.col("part").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
+            .otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / BLOCK))).alias("block"),
+        )
+    )
+    blocks = materialize(blocked.select("cluster", "part", "block").distinct())
+    mine, theirs = (blocks.select("cluster", F.struct("part", "block").alias(x)) for x in ("mine", "theirs"))
+    meeting = mine.join(theirs, "cluster").where("mine <= theirs AND (mine.part <> theirs.part OR mine.part = -1)")
+    seats = meeting.select("cluster", "mine", "theirs", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).where("side = 0 OR mine <> theirs")
+    seats = seats.select("cluster", "mine", "theirs", "side", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("theirs")).alias("own")).select("*", "own.part", "own.block").drop("own")
+    contents = blocked.join(sets.select("node", "n", "shingles"), "node")
+    seated = contents.join(seats, ["cluster", "part", "block"]).select("cluster", "mine", "theirs", "side", "node", "comp", "n", "shingles")
+    more = seated.groupBy("cluster", "mine", "theirs").applyInArrow(meet, "a long, b long")
+    return materialize(found.union(more))
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """Links between two blocks (or within one), by exact sizes of intersections; only those that join something new."""
+    side = table.column("side").to_numpy()
+    sides = []
+    for s in (0, 1) if side.any() else (0,):
+        t = table.filter(pa.array(side == s))
+        parts = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        sides.append((t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), row, np.concatenate(parts)))
+    one, two = sides[0], sides[-1]
+    common = np.intersect1d(one[4], two[4])
+    total = np.zeros((len(one[0]), len(two[0])), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        cells = []
+        for x in (one, two) if len(sides) > 1 else (one,):
+            place = np.minimum(np.searchsorted(part, x[4]), len(part) - 1)
+            has = part[place] == x[4]
+            m = np.zeros((len(x[0]), len(part)), np.float32)
+            m[x[3][has], place[has]] = 1
+            cells.append(m)
+        total += cells[0] @ cells[-1].T
+    ok = (100 * total >= PERCENT * (one[2][:, None] + two[2][None, :] - total)) & (one[1][:, None] != two[1][None, :])
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while group.setdefault(x, x) != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    links = []
+    for i, j in np.argwhere(ok).tolist():
+        a, b = root(int(one[1][i])), root(int(two[1][j]))
+        if a != b:
+            group[a] = b
+            links.append(sorted((int(one[0][i]), int(two[0][j]))))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def near_duplicates(df: DataFrame, k: int = K, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    spark = df.sparkSession
     rows = materialize(sketch(df, k, WORDS, text, id_col))
     whole = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # One row a class; a class's members have the same sketch.
-    classes = materialize(whole.groupBy("set_id").agg(F.min("doc_id").alias("node")))
-    members = classes.join(whole.withColumnRenamed("doc_id", "node"), ["set_id", "node"]).dropDuplicates(["set_id", "node"])
-    described = materialize(members.select("node", F.col("n_shingles").alias("n"), "sketch", "shingles"))
-    _, labels = links(described, k)
-    named = classes.join(labels, "node", "left").select("set_id", F.coalesce("comp", "node").alias("comp"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    classes = materialize(whole.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    lists = listed(classes, k)
+    listed_nodes = lists.select("node").distinct()
+    # Whole sets of the classes in lists only. A repeated id has one of its sets here.
+    of_class = classes.join(listed_nodes, "node", "left_semi").select("set_id", "node", "n", "sketch")
+    sets = materialize(whole.select("set_id", F.col("doc_id").alias("node"), "shingles").join(of_class, ["set_id", "node"]).select("node", "n", "sketch", "shingles"))
+    placed = materialize(rows.select("doc_id", "n_shingles", "set_id"))
+    named = materialize(classes.select("set_id", "node"))
+    discard(rows)
+    discard(classes)
+    del rows, whole, classes, of_class, listed_nodes
+    release(spark)
+    labels = link_rounds(lists, sets, k, ROUNDS)
+    discard(sets)
+    named = named.withColumn("comp", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    out = placed.join(named.select("set_id", "comp"), "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
