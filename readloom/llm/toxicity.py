@@ -24,6 +24,8 @@ from .textops import char_grams, logistic
 
 FIT_ROWS, WIDTH, ORDERS, BITS = 20_000, 2048, (3, 4, 5, 6), 22
 RANGES = 64
+#: Bytes worked on at once: every byte takes some 60 bytes of memory meanwhile.
+STEP = 1 << 19
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -38,7 +40,7 @@ class Model:
 
 def _present(texts: list[bytes]):
     """(text, feature) pairs, once each; of one order after the other."""
-    for a, b in in_steps([len(t) for t in texts]):
+    for a, b in in_steps([len(t) for t in texts], STEP):
         for _, value, border in char_grams(texts[a:b], ORDERS, BITS):
             doc = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(border))
             both = np.unique(doc << BITS | value)
@@ -123,7 +125,7 @@ def _hits(texts: list[bytes], features: np.ndarray) -> tuple[np.ndarray, np.ndar
     known = np.zeros(1 << BITS, np.int16)
     known[features] = np.arange(1, len(features) + 1)
     found = []
-    for a, b in in_steps([len(t) for t in texts]):
+    for a, b in in_steps([len(t) for t in texts], STEP):
         for _, value, border in char_grams(texts[a:b], ORDERS, BITS):
             index = known[value]
             at = np.flatnonzero(index)
