@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised loop works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -76,6 +78,17 @@ def discard(df: DataFrame | None) -> None:
         remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark's cleaner acts when the driver's JVM has collected the plans: those that Python held go in a second pass.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def in_steps(lengths: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes together, or one row."""
     start = total = 0

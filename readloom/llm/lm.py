@@ -33,12 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, in_steps, materialize, utf8
-from .neardup import release
+from .common import crc_fold, in_steps, materialize, release, utf8
 from .textops import Words, mix
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES, TOKENS_PER_PART, KATZ = 8 << 20, 2_000_000, 5
+#: The pair table is dealt in so many turns, each with its share of the parts: that much less of it moves at a time.
+TURNS = 3
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3C2B1B)
 #: Kinds of rows. Chunks; their words for the parts; answers; pairs of ordinary and frequent contexts; answers; sums.
 CHUNK, WORDS, WORD_ANSWER, PAIRS, FREQUENT, PAIR_ANSWER, FREQUENT_ANSWER, CONTEXT, SUMS = range(9)
@@ -115,10 +116,13 @@ def chunks(documents: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts, fold = batch.column(0).to_pylist(), utf8(batch.column(1)), np.array(batch.column(2).to_pylist(), np.int32)
             for a, b in in_steps([len(t) for t in texts], CHUNK_BYTES):
-                w = Words(texts[a:b])
-                h = np.insert(w.hashes(), w.first + w.count, END)
-                known, place = np.unique(h, return_inverse=True)
-                out = (base + k, CHUNK, None, ids[a:b], known.tobytes(), pack(place.astype(np.int32)), pack((w.count + 1).astype(np.int32), fold[a:b]))
+                hashes, counts = [], []
+                for c, d in in_steps([len(t) for t in texts[a:b]]):  # hashing takes much memory a byte
+                    w = Words(texts[a + c : a + d])
+                    hashes.append(np.insert(w.hashes(), w.first + w.count, END))
+                    counts.append(w.count + 1)
+                known, place = np.unique(np.concatenate(hashes), return_inverse=True)
+                out = (base + k, CHUNK, None, ids[a:b], known.tobytes(), pack(place.astype(np.int32)), pack(np.concatenate(counts).astype(np.int32), fold[a:b]))
                 k += 1
                 yield from rows([out]).to_batches()
 
@@ -205,7 +209,9 @@ def add_words(table: pa.Table) -> pa.Table:
     return rows([*out, (None, SUMS, found[0]["part"], None, np.array(sums, np.int64).tobytes(), None, None)])
 
 
-def deal_pairs(model: WordModel, parts: int):
+def deal_pairs(model: WordModel, parts: int, turn: int):
+    """The pairs of every ``TURNS``-th part."""
+
     def run(table: pa.Table) -> pa.Table:
         c = Chunk(table)
         counts = c.word_counts()
@@ -215,6 +221,8 @@ def deal_pairs(model: WordModel, parts: int):
         out = []
         starts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (frequent[1:] != frequent[:-1])))
         for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            if part[a] % TURNS != turn:
+                continue
             runs = _edges(context[a:b])
             lengths = np.diff(np.append(runs, b - a))
             out.append((c.id, FREQUENT if frequent[a] else PAIRS, int(part[a]), None, _six(key[a:b]), pack(n[a:b].astype(np.int64), cw[a:b], lengths), h[a:b][runs].tobytes()))
@@ -331,7 +339,11 @@ def score(documents: DataFrame) -> DataFrame:
     model = WordModel.of(int(sums[0]), int(sums[1]), texts, np.append(0, sums[2:]))
     words = words.where(f"kind = {WORD_ANSWER}")
     release(spark)
-    pairs = materialize(told.unionAll(words).groupBy("chunk").applyInArrow(deal_pairs(model, parts), ROW).groupBy("part").applyInArrow(add_pairs(model), ROW))
+    pairs = None
+    for turn in range(TURNS):
+        own = materialize(told.unionAll(words).groupBy("chunk").applyInArrow(deal_pairs(model, parts, turn), ROW).groupBy("part").applyInArrow(add_pairs(model), ROW))
+        pairs = own if pairs is None else pairs.unionAll(own)
+        release(spark)
     sums = sum(np.frombuffer(r["x"], np.int64) for r in pairs.where(f"kind = {SUMS}").select("x").collect())
 
     def together(key, table):

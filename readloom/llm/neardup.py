@@ -23,16 +23,15 @@ another text are each placed by their own text. Extra columns stay out.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_steps, map_batches, materialize, utf8
+from .common import discard, in_steps, map_batches, materialize, release, utf8
 from .textops import Words
 
 WORDS, K, PROBE, PERCENT = 5, 64, 16, 75
@@ -82,12 +81,6 @@ def sketch(df: DataFrame, k: int = K, words: int = WORDS, text: str = "text", id
     return map_batches(df.select(F.col(id_col).cast("long"), text), make, "doc_id long, n_shingles long, set_id binary, sketch array<long>, shingles binary")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def listed(classes: DataFrame, k: int) -> DataFrame:
     """value, node, n: the inverted lists (a written table)."""
     # Classes that share two of their smallest values with others.
