@@ -1,4 +1,8 @@
-"""Reads made from the ``documents`` table, so that reads can be had wherever it is: 180-letter slices become inserts."""
+"""Reads made from the ``documents`` table, so that reads can be had wherever it is: 180-letter slices become inserts.
+
+These are a prefix of each text: its first ten full slices. Letters after the first 1,800 and a last slice of under 180
+letters become no reads. FIXTURES.md and the queries' SQL have the same generator.
+"""
 
 from __future__ import annotations
 
