@@ -5,7 +5,9 @@ one bitset, so the tightest bin that fits is found by a shift and the lowest set
 the fullest one closes. Only documents longer than a sequence are cut, into full pieces and a last one.
 
 Only the pieces' sizes move: they are dealt by a hash of their document into packers of at most ``per_packer`` pieces on
-average, each of which takes its pieces largest first. Full pieces are sequences of their own.
+average. A packer takes them in runs, dealt by a hash, of twice as many pieces on average as bins can be open, and each run
+largest first: bins of a run's large pieces are then still open when its small ones come. (Were all of a full packer's pieces
+taken largest first, most bins would close before any piece that fills them.) Full pieces are sequences of their own.
 
 Null texts are empty; an empty text is one piece with the end id alone. Repeated rows are packed each for itself.
 A null id is packed like any other. Extra columns stay out.
@@ -101,10 +103,13 @@ def pack(found: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, per_pac
 
     ``found`` should be a written table: its rows are counted once to choose the number of packers.
     """
-    packers = max(1, round(found.count() / per_packer))
+    n = found.count()
+    packers = max(1, round(n / per_packer))
+    runs = max(1, round(n / packers / (2 * open_bins)))
     key = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
-    # Largest first within a packer; ids are (packer, bin), so packers don't meet.
-    dealt = found.repartition(packers, key).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    # Largest first within a run; ids are (packer, bin), so packers don't meet.
+    run_of = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(runs))
+    dealt = found.repartition(packers, key).sortWithinPartitions(run_of, F.desc("length"), "doc_id", "piece")
 
     def run(batches):
         from pyspark import TaskContext

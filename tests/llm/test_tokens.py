@@ -99,6 +99,13 @@ def test_packing(docs):
     assert len(where) <= sum(r.length for r in rows) / 4096 * 1.1 + 1
 
 
+@pytest.mark.parametrize("length", ["1 + pmod(xxhash64(id), 4095)", "least(4095, 200 + pmod(xxhash64(id), 2400) + IF(id % 5 = 0, 1400, 0))"])
+def test_packing_fills_full_packers(spark, length):
+    found = spark.range(100_000).selectExpr("id doc_id", "0 piece", f"cast({length} AS long) length").localCheckpoint()
+    n, total = packing.pack(found).selectExpr("count(distinct sequence_id)", "sum(length)").first()
+    assert n <= total / 4096 * 1.02
+
+
 def test_best_fit_bins():
     bins = packing.BestFit(10, 2)
     assert [bins.add(n) for n in (6, 7, 3, 4, 9, 9, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0), (3, 9)]
