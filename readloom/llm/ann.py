@@ -1,15 +1,17 @@
 """Nearest neighbours by inner product, from shifted space-filling curves.
 
-1. Directions are projected on 8 seeded orthogonal axes, made uniform and shifted; a Hilbert index of 7 bits an axis orders
-   them. Each of ``CURVES`` orderings has its own axes and shift. Spark range-partitions the vectors by (index, id), so
-   equal vectors can't crowd a partition, and each partition becomes blocks of at most ``BLOCK`` vectors in curve order.
-2. A query is compared with its block on every curve; the windows' results merge and give each query's present k-th score.
-3. An exact check follows. Every block of the first curve has a centre and a radius; a block whose bound
-   q . centre + |q| * radius is below a query's k-th score holds nothing nearer and is passed over for it. Others are
-   searched. Results are therefore exact (recall 1); the curves decide how much of the rest is looked at.
-
-Queries meet blocks as matrices of at most ``BLOCK`` rows, never row by row. Scores are doubles summed in one order for all
-pairs, so equal vectors tie exactly; ties go to the smaller id.
+1. Equal vectors are one class, known by its smallest id, with its k + 1 smallest ids: more of them no answer can hold.
+2. Directions are projected on 8 seeded orthogonal axes, made uniform and shifted; a Hilbert index of 7 bits an axis orders
+   them. Each of ``curves`` orderings has its own axes and shift. One shuffle range-partitions all orderings by
+   (curve, key, class), so no key and no ordering crowds a partition.
+3. Tasks slide over the orderings in tiles: a query class is compared with the classes of its tile and ``half`` places on
+   either side, as a matrix product, and keeps its k nearest there.
+4. The windows' results merge: at most curves * k pairs a query class. Classes become ids, each query's own id goes.
+
+What a query sees is ``curves`` windows of ``tile + 2 * half`` places, however many vectors there are; work, shuffle and
+memory are linear in the vectors. Recall depends on how much of the neighbourhood the windows hold; see README for measured
+figures (unstructured vectors in 64 dimensions are the worst case there is). Scores are exact: doubles summed in one order for
+all pairs, so equal vectors tie exactly; ties go to the smaller id.
 
 Vectors that are null, zero, of another length than most (ties: the longer), or hold null or non-finite components take no
 part; nor do null ids. Ids are taken to be unique: candidates with the query's id are its own row. With fewer candidates
@@ -20,12 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
 
-K, EVERY, CURVES, AXES, BITS, BLOCK, MOST_PARTITIONS, SEED = 20, 20, 4, 8, 7, 2048, 2000, 11
+K, EVERY, CURVES, AXES, BITS, SEED = 20, 20, 48, 8, 7, 11
+TILE, HALF = 512, 256
+#: Rows of a partition of the orderings.
+ROWS = 1 << 18
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -53,159 +58,151 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
-    """Place of each vector's direction on one curve."""
-    n, d = vectors.shape
+def curve_keys(unit: np.ndarray, curve: int) -> np.ndarray:
+    """Place of each direction on one curve."""
+    d = unit.shape[1]
     rng = np.random.default_rng(SEED + curve)
     axes = np.linalg.qr(rng.standard_normal((d, d)))[0][:, : min(AXES, d)]
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     # About standard normal on every axis; the logistic curve makes it about uniform.
     place = 1 / (1 + np.exp(-1.702 * (unit @ axes) * np.sqrt(d)))
-    shifted = (place * 0.5 + rng.random(axes.shape[1]) * 0.5) * (1 << BITS)
+    shifted = (place * 0.75 + rng.random(axes.shape[1]) * 0.25) * (1 << BITS)
     return hilbert(np.minimum(shifted.astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def usable(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """vec_id, v (doubles), key_0, key_1, ...: the vectors that take part, as a written table."""
-    x = F.col(vector).cast("array<double>")
+def usable(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -> tuple[DataFrame, np.dtype]:
+    """vec_id, v (the components' bytes): the vectors that take part; and the components' type."""
+    single = df.schema[vector].dataType.elementType.simpleString() == "float"
+    x = F.col(vector).cast(f"array<{'float' if single else 'double'}>")
     fine = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("x", lambda c: c != 0)
     )
     most = fine.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    d = most["d"] if most else 1
+    kind = np.dtype(np.float32 if single else np.float64)
 
     def make():
         def f(batch):
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-            rows = [r.tobytes() for r in v]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), *(pa.array(curve_keys(v, c)) for c in range(CURVES))], ["vec_id", "v", *(f"key_{c}" for c in range(CURVES))])
+            # Adding 0 makes a negative zero a positive one: equal vectors have equal bytes.
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)
+            rows = [r.tobytes() for r in v.reshape(batch.num_rows, -1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["vec_id", "v"])
 
         return f
 
-    return materialize(map_batches(fine.where(F.size("x") == d), make, "vec_id long, v binary, " + ", ".join(f"key_{c} long" for c in range(CURVES))))
-
-
-def blocks(vectors: DataFrame, n: int, curve: int) -> DataFrame:
-    """block, ids, v: the vectors in a curve's order, at most BLOCK in a row of the result."""
-    key = f"key_{curve}"
-    partitions = max(1, min(MOST_PARTITIONS, round(n / BLOCK)))
-    dealt = vectors.select(key, "vec_id", "v").repartitionByRange(partitions, key, "vec_id").sortWithinPartitions(key, "vec_id")
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        base, k, ids, v = TaskContext.get().partitionId() << 32, 0, [], []
+    return map_batches(fine.where(F.size("x") == (most["d"] if most else 1)), make, "vec_id long, v binary"), kind
 
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(v)], pa.binary())], ["block", "ids", "v"])
-
-        for batch in batches:
-            for i, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids.append(i)
-                v.append(x)
-                if len(ids) == BLOCK:
-                    yield row()
-                    k, ids, v = k + 1, [], []
-        if ids:
-            yield row()
 
-    return dealt.mapInArrow(run, "block long, ids binary, v binary")
+def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in one order."""
+    return np.add.reduce(np.ascontiguousarray(q * v), axis=1)
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, id, score) of the k nearest in v, none of them below ``least``."""
+def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of the k nearest in v, without the query's own id. Memory is a few times q @ v.T."""
     rough = q @ v.T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
-    slack = 1e-12 * np.linalg.norm(q, axis=1) * max(np.linalg.norm(v, axis=1).max(initial=0), 1e-300) * 64
-    floor = np.full(len(q), -np.inf) if least is None else least - slack
+    slack = 1e-11 * np.linalg.norm(q, axis=1) * max(np.linalg.norm(v, axis=1).max(initial=0), 1e-300)
+    floor = np.full(len(q), -np.inf)
     if rough.shape[1] > k:
-        floor = np.maximum(floor, np.partition(rough, -k, axis=1)[:, -k] - 2 * slack)
+        floor = np.partition(rough, -k, axis=1)[:, -k] - slack
     row, col = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
-    score = np.add.reduce(np.ascontiguousarray(q[row] * v[col]), axis=1) if len(row) else np.zeros(0)
+    score = np.empty(len(row))
+    for a in range(0, len(row), 1 << 16):  # many may tie
+        score[a : a + (1 << 16)] = scores(q[row[a : a + (1 << 16)]], v[col[a : a + (1 << 16)]])
     order = np.lexsort((ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    if least is not None:
-        keep &= score >= least[row]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[keep], ids[col][keep], score[keep]
 
 
-def _matrix(ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
-    at = np.frombuffer(ids, np.int64)
-    return at, np.frombuffer(v, np.float64).reshape(len(at), -1)
-
-
-FOUND = "query_id long, vec_id long, score double"
-
-
-def windows(packed: DataFrame, every: int, k: int) -> DataFrame:
-    """The k nearest of each query within its own block."""
+def in_curve_order(classes: DataFrame, n: int, kind: np.dtype, curves: int) -> DataFrame:
+    """curve, key, cid, asked, v: every class once an ordering, partitions in order."""
 
     def make():
         def f(batch):
-            out = []
-            for ids, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at, m = _matrix(ids, v)
-                own = at % every == 0
-                row, near, score = nearest(at[own], m[own], at, m, k)
-                out.append(pa.RecordBatch.from_arrays([pa.array(at[own][row]), pa.array(near), pa.array(score)], ["query_id", "vec_id", "score"]))
-            return out
+            v = np.frombuffer(b"".join(batch.column(2).to_pylist()), kind).reshape(batch.num_rows, -1).astype(np.float64)
+            unit, m = v / np.linalg.norm(v, axis=1, keepdims=True), batch.num_rows
+            return [
+                pa.RecordBatch.from_arrays([pa.array(np.full(m, c, np.int32)), pa.array(curve_keys(unit, c)), *batch.columns], ["curve", "key", "cid", "asked", "v"])
+                for c in range(curves)
+            ]
 
         return f
 
-    return map_batches(packed, make, FOUND)
+    keyed = map_batches(classes.select("cid", "asked", "v"), make, "curve int, key long, cid long, asked boolean, v binary")
+    return keyed.repartitionByRange(max(1, -(-n * curves // ROWS)), "curve", "key", "cid").sortWithinPartitions("curve", "key", "cid")
 
 
-def merged(found: DataFrame, k: int) -> DataFrame:
-    """query_id, best: the k best (negative score, id), nearest first."""
-    pairs = F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))
-    return found.groupBy("query_id").agg(F.slice(F.sort_array(pairs), 1, k).alias("best"))
+FOUND = "cid long, other long, score double"
 
 
-def search(df: DataFrame, k: int = K, every: int = EVERY, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+def windows(ordered: DataFrame, kind: np.dtype, k: int, tile: int, half: int) -> DataFrame:
+    """cid, other, score: the k nearest classes of each query class in its windows."""
+
+    def compared(ids, asked, v, begin, end):
+        """Tiles from place ``begin`` on that end by ``end``; the next tile's place."""
+        out = []
+        while begin < end:
+            a, b = max(0, begin - half), begin + tile + half
+            own = np.flatnonzero(asked[begin : begin + tile]) + begin
+            if len(own):
+                row, near, score = nearest(ids[own], v[own], ids[a:b], v[a:b], k)
+                out.append(pa.RecordBatch.from_arrays([pa.array(ids[own][row]), pa.array(near), pa.array(score)], ["cid", "other", "score"]))
+            begin += tile
+        return out, begin
+
+    def run(batches):
+        at, held, place = None, None, 0  # the curve, what is held of it, the next tile's place therein
+        for batch in batches:
+            curve = batch.column(0).to_numpy()
+            ids, asked = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            v = np.frombuffer(b"".join(batch.column(4).to_pylist()), kind).reshape(batch.num_rows, -1).astype(np.float64)
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(curve)) + 1):
+                if len(part) and curve[part[0]] != at:
+                    if held is not None:
+                        yield from compared(*held, place, len(held[0]))[0]
+                    at, held, place = curve[part[0]], None, 0
+                new = (ids[part], asked[part], v[part])
+                held = new if held is None else tuple(map(np.concatenate, zip(held, new, strict=True)))
+                whole = len(held[0]) - half - tile  # tiles that begin by here have their right side
+                if whole >= place + 8 * tile:
+                    out, place = compared(*held, place, whole + 1)
+                    yield from out
+                    gone = max(0, place - half)
+                    held, place = tuple(x[gone:] for x in held), place - gone
+        if held is not None:
+            yield from compared(*held, place, len(held[0]))[0]
+
+    return ordered.mapInArrow(run, FOUND)
+
+
+def search(df: DataFrame, k: int = K, every: int = EVERY, vector: str = "embedding", id_col: str = "vec_id", curves: int = CURVES, tile: int = TILE, half: int = HALF) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
-    vectors = usable(df, vector, id_col)
-    n = vectors.count()
-    first = materialize(blocks(vectors, n, 0))
-    found = windows(first, every, k)
-    for c in range(1, CURVES):
-        found = found.unionAll(windows(blocks(vectors, n, c), every, k))
-    seeds = materialize(merged(found, k))
-    queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    least = F.when(F.size("best") >= k, -F.element_at("best", -1)["s"]).otherwise(float("-inf"))
-    asked = queries.join(seeds.select("query_id", least.alias("least")), "query_id", "left").select("query_id", "q", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    n_groups = max(1, -(-queries.count() // BLOCK))
-
-    # Queries in groups of about BLOCK; each group meets each block once.
-    def group(table: pa.Table) -> pa.Table:
-        t = table.sort_by("query_id")
-        ids, rows = t.column("query_id").to_numpy(), t.column("q").to_pylist()
-        return pa.table({"grp": t.column("grp")[:1], "q_ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([b"".join(rows)], pa.binary()), "least": pa.array([t.column("least").to_numpy().tobytes()], pa.binary())})
-
-    grouped = asked.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("int")).groupBy("grp").applyInArrow(group, "grp int, q_ids binary, q binary, least binary")
-    every_group = first.select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), "block", "ids", "v")
-    # AQE must not gather the few, costly meetings in a few tasks.
-    met = every_group.repartition(max(12, min(4 * MOST_PARTITIONS, n // BLOCK)), "grp", "block").join(F.broadcast(grouped) if n_groups == 1 else grouped, "grp")
+    vectors, kind = usable(df, vector, id_col)
+    vectors = materialize(vectors)
+    # The k + 1 smallest ids of equal vectors: Spark limits each task's share before it shuffles.
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = vectors.withColumn("place", place).where(F.col("place") <= k + 1)
+    classes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cid"), "v", "ids")
+    classes = materialize(classes)
+    queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    queries = materialize(queries.join(classes.select("v", "cid"), "v").select("query_id", "cid"))
+    asked = queries.select("cid").distinct().withColumn("asked", F.lit(True))
+    marked = materialize(classes.select("cid", "v").join(asked, "cid", "left").select("cid", F.coalesce("asked", F.lit(False)).alias("asked"), "v"))
+    found = windows(in_curve_order(marked, marked.count(), kind, curves), kind, k, tile, half)
+    pairs = F.collect_set(F.struct((-F.col("score")).alias("s"), "other"))  # at most curves * k
+    best = found.groupBy("cid").agg(F.slice(F.sort_array(pairs), 1, k).alias("best"))
+    others = best.select("cid", F.explode("best").alias("b")).select("cid", "b.s", "b.other")
 
     def make():
         def f(batch):
-            c = {x: batch.column(x).to_pylist() for x in batch.schema.names}
-            out = []
-            for i in range(batch.num_rows):
-                ids, v = _matrix(c["ids"][i], c["v"][i])
-                q_ids, q = _matrix(c["q_ids"][i], c["q"][i])
-                bound = np.frombuffer(c["least"][i], np.float64)
-                centre = v.mean(axis=0)
-                radius = np.linalg.norm(v - centre, axis=1).max() * (1 + 1e-9) + 1e-12
-                near = q @ centre + np.linalg.norm(q, axis=1) * radius >= bound
-                row, got, score = nearest(q_ids[near], q[near], ids, v, k, bound[near])
-                out.append(pa.RecordBatch.from_arrays([pa.array(q_ids[near][row]), pa.array(got), pa.array(score)], ["query_id", "vec_id", "score"]))
-            return out
+            v = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).reshape(batch.num_rows, -1).astype(np.float64)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(-scores(v, v)), batch.column(0)], ["cid", "s", "other"])
 
         return f
 
-    rest = map_batches(met.select("ids", "v", "q_ids", "q", "least"), make, FOUND)
-    seeded = seeds.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", (-F.col("b.s")).alias("score"))
-    best = merged(seeded.unionAll(rest), k)
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    own = map_batches(marked.where("asked").select("cid", "v"), make, "cid long, s double, other long")
+    members = others.unionAll(own).join(classes.select(F.col("cid").alias("other"), "ids"), "other").select("cid", "s", F.explode("ids").alias("vec_id"))
+    # At most (k + 1) * (k + 1) ids a class, of which a query needs k and perhaps its own.
+    ranked = materialize(members.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "vec_id"))), 1, k + 1).alias("best")))
+    answers = queries.join(ranked, "cid").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    return answers.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

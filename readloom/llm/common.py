@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a vectorised loop works on; a longer text is a step of its own.
+#: Bytes of text that one step of a vectorised loop works on. Longer texts are cut into spans (textops.spans).
 STEP_BYTES = 1 << 19
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -32,9 +32,14 @@ def crc_fold(doc_id: Column | str, folds: int = 5) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session leaves that setting unset (tests, local runs) does the driver's temp folder serve.
+    Only a local session, whose tasks run in the driver's process, may leave that setting unset: the driver's temp folder
+    then serves. On a cluster executors could not see it, so there it is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_root()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_root()
     path = f"{root.rstrip('/')}/readloom-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
@@ -61,12 +66,27 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Spark deletes the shuffle files of a job that runs meanwhile as soon as the job is done."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write a table in the shared folder and read it again: lineage ends here and survives lost executors."""
+    """Write a table in the shared folder and read it again: lineage ends here and survives lost executors.
+
+    What the job shuffled is deleted with its end, as nothing but the written table is used from then on.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with brief_shuffles(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._readloom_path = path
     return out
@@ -78,19 +98,8 @@ def discard(df: DataFrame | None) -> None:
         remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
-
-    Spark's cleaner acts when the driver's JVM has collected the plans: those that Python held go in a second pass.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def in_steps(lengths: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``limit`` bytes together, or one row."""
+    """Ranges of rows with at most ``limit`` bytes together, or one longer row, which spans() then cuts."""
     start = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > limit:

@@ -3,7 +3,8 @@
 A document's set is its distinct five-word shingles (fewer words: the whole sequence). Documents with
 100 * intersection >= 75 * union are linked; components of links are the groups.
 
-1. Equal sets are one class, so copies never meet as pairs.
+1. Equal sets are one class, so copies never meet as pairs. A class is known by the number of one of its rows, never by
+   a doc_id, so rows that share an id and not a text are different nodes.
 2. Each class keeps the k smallest hashes of its set. Classes that share at most one of their 16 smallest with any other
    class leave here. (A linked pair shares 12 of 16 on average; it shares two or more but for one case in 10**8.)
 3. Inverted lists of retained values: a class is listed under its rarest values only, so many that two classes which
@@ -12,13 +13,16 @@ A document's set is its distinct five-word shingles (fewer words: the whole sequ
    made of little else.
 4. Each list names one of its classes as hub, by one order for all lists; members in other components are compared with
    the hub. Rounds with new orders go on while that joins groups and many pairs across components are left.
-   Then all pairs across components that still share a list are compared: those of short lists one by one, what long
-   lists connect in blocks, by exact intersections as matrix products. No list or group is capped.
-5. Comparing: the estimate from the union's sketch rejects at 5.5 standard deviations; exact set sizes decide.
+   Then all pairs across components that still share a list are compared: those of short lists one by one, those of long
+   lists in blocks of classes of like size, by exact intersections as matrix products. Only blocks that share a list, and
+   whose sizes allow a link, meet; a block's sets travel once for each block that it meets. No list or group is capped.
+5. Comparing: the estimate from the union's sketch rejects at 5.5 standard deviations; exact sets of 64-bit hashes decide.
+   Sets are made again from the text, for listed classes only.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with a null id take no part (component null).
-Ids are taken to be unique; rows that repeat an id with
-another text are each placed by their own text. Extra columns stay out.
+Rows that repeat an id are each placed by their own text; ``component_id`` is the smallest id of the group, and ``kept``
+tells whether a row has it, so rows that repeat both id and text are all kept (one_of_each() keeps one row a group).
+Extra columns stay out. Texts of any length: hashing sees 512 KB at a time; a set takes 8 bytes a distinct shingle.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_steps, map_batches, materialize, release, utf8
-from .textops import Words
+from .common import discard, map_batches, materialize, utf8
+from .textops import shingle_sets
 
 WORDS, K, PROBE, PERCENT = 5, 64, 16, 75
 ROUNDS = 8
-#: Members of a list whose pairs are made one by one; members of a block; columns of a block's matrix.
-SHORT, BLOCK, COLUMNS = 32, 512, 4096
+#: Members of a list whose pairs are made one by one; members of a block, and shingles that its sets hold together;
+#: columns of a block's matrix.
+SHORT, BLOCK, CELLS, COLUMNS = 32, 512, 1 << 22, 4096
 
 
 def needed(k: int) -> int:
@@ -51,34 +56,31 @@ def floor_estimate(k: int) -> float:
     return t - 5.5 * math.sqrt(t * (1 - t) / k)
 
 
-def sketch(df: DataFrame, k: int = K, words: int = WORDS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_id, sketch (k smallest hashes, rising), shingles (the whole set as 32-bit hashes)."""
+ROW = "_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, as a written table: numbers hold whoever reads it."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def sketch(rows: DataFrame, k: int = K, words: int = WORDS, text: str = "text", id_col: str = "doc_id", sets: bool = False) -> DataFrame:
+    """_row, doc_id, n_shingles, set_id, sketch (k smallest hashes, rising) and, with ``sets``, shingles (the whole set)."""
 
     def make():
         def f(batch):
-            ids, out = batch.column(0).to_pylist(), []
-            texts = utf8(batch.column(1))
-            for a, b in in_steps([len(t) for t in texts]):
-                values, docs = Words(texts[a:b]).shingles(words)
-                order = np.lexsort((values, docs))
-                values, docs = values[order], docs[order]
-                new = np.ones(len(values), bool)
-                new[1:] = (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])
-                values, docs = values[new], docs[new]
-                edge = np.searchsorted(docs, np.arange(b - a + 1))
-                keys = (values >> np.uint64(1)).astype(np.int64)
-                short = (values >> np.uint64(32)).astype(np.uint32)
-                for i in range(b - a):
-                    s, e = edge[i], edge[i + 1]
-                    digest = hashlib.blake2b(values[s:e].tobytes(), digest_size=16).digest() if e > s else None
-                    out.append((ids[a + i], int(e - s), digest, keys[s : min(e, s + k)], short[s:e].tobytes()))
-            columns = list(zip(*out, strict=True))
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_shingles", "set_id", "sketch", "shingles"])
+            out = []
+            for values in shingle_sets(utf8(batch.column(2)), words):
+                digest = hashlib.blake2b(values, digest_size=16).digest() if len(values) else None
+                out.append((len(values), digest, (values[:k] >> np.uint64(1)).astype(np.int64), *([values.tobytes()] if sets else [])))
+            types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [ROW, "doc_id", "n_shingles", "set_id", "sketch", "shingles"][: 2 + len(made)])
 
         return f
 
-    return map_batches(df.select(F.col(id_col).cast("long"), text), make, "doc_id long, n_shingles long, set_id binary, sketch array<long>, shingles binary")
+    schema = f"{ROW} long, doc_id long, n_shingles long, set_id binary, sketch array<long>" + ", shingles binary" * sets
+    return map_batches(rows.select(ROW, F.col(id_col).cast("long"), text), make, schema)
 
 
 def listed(classes: DataFrame, k: int) -> DataFrame:
@@ -119,7 +121,7 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             c = {x: batch.column(x).to_pylist() for x in batch.schema.names}
             keep = []
             for na, nb, wa, wb in zip(c["n_a"], c["n_b"], c["w_a"], c["w_b"], strict=True):
-                common = len(np.intersect1d(np.frombuffer(wa, np.uint32), np.frombuffer(wb, np.uint32)))
+                common = len(np.intersect1d(np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64), assume_unique=True))
                 keep.append(100 * common >= PERCENT * (na + nb - common))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -156,7 +158,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_rounds(lists: DataFrame, sets: DataFrame, k: int, rounds: int) -> DataFrame | None:
     """node, comp for every class that is linked with another; None if none is."""
-    spark = lists.sparkSession
     size, before = lists.count(), math.inf
     edges, labels = None, None
     for turn in range(rounds + 1):
@@ -180,8 +181,6 @@ def link_rounds(lists: DataFrame, sets: DataFrame, k: int, rounds: int) -> DataF
         if not found.isEmpty():
             edges = found if edges is None else edges.union(found)
             labels = components(edges)
-        del placed, across, other
-        release(spark)
         if last:
             break
     return labels
@@ -194,37 +193,38 @@ def distinct_pairs(met: DataFrame) -> DataFrame:
 def rest(placed: DataFrame, across: DataFrame, other: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """Links (a, b) among the pairs in different components that still share a list, of which none is left out.
 
-    Short lists give their pairs. Members of long lists would meet in list after list: what long lists connect is one
-    cluster, whose members meet once, in blocks.
+    Short lists give their pairs. Members of long lists would meet in list after list, so there blocks of classes meet,
+    each two blocks once. A class is in a block of the longest list that it is under, with classes of like size: members of
+    one large component, or whole small components by a hash.
     """
     short = placed.join(across.where(F.col("members") <= SHORT).select("value"), "value")
     met = short.join(other, "value").where((F.col("node") < F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & near_sizes("n", "hub_n"))
     found = verified(distinct_pairs(met), sets, k)
-    long = materialize(placed.join(across.where(F.col("members") > SHORT).select("value"), "value"))
+    long = materialize(placed.join(across.where(F.col("members") > SHORT).select("value", "members"), "value"))
     if long.isEmpty():
         return found
-    heads = long.groupBy("value").agg(F.min("node").alias("b"))
-    clusters = components(long.join(heads, "value").select(F.col("node").alias("a"), "b").distinct())
-    members = long.select("node", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node")
-    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
-    large = sizes.where(F.col("m") >= BLOCK).withColumn("part", F.col("comp"))
-    small = sizes.where(F.col("m") < BLOCK).groupBy("cluster").agg(F.sum("m").alias("small"))
-    # A block holds members of one large component, or whole small ones by a hash: blocks of one component don't meet.
+    # Sizes in steps of 4/3: a link's classes are in one step or in neighbouring ones.
+    step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / PERCENT))).cast("int")
+    members = long.groupBy("node", "comp", "n").agg(F.max(F.struct("members", "value")).alias("x")).select("node", "comp", step.alias("step"), F.col("x.value").alias("home"))
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(CELLS) / F.pow(F.lit(100 / PERCENT), F.col("step") + 1))))
+    sizes = members.groupBy("step", "home", "comp").agg(F.count("*").alias("m"))
+    large = sizes.where(F.col("m") >= most).withColumn("part", F.col("comp"))
+    small = sizes.where(F.col("m") < most).groupBy("step", "home").agg(F.sum("m").alias("small"))
     blocked = materialize(
-        members.join(large, ["cluster", "comp"], "left").join(small, "cluster", "left").select(
-            "cluster", "node", "comp", F.coalesce("part", F.lit(-1)).alias("part"),
-            F.when(F.col("part").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
-            .otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / BLOCK))).alias("block"),
-        )
+        members.join(large, ["step", "home", "comp"], "left").join(small, ["step", "home"], "left").select(
+            "node", "comp", "step", "home", F.coalesce("part", F.lit(-1)).alias("part"),
+            F.when(F.col("part").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / most)))
+            .otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / most))).alias("block"),
+        ).select("node", "comp", F.struct("step", "home", "part", "block").alias("seat"))
     )
-    blocks = materialize(blocked.select("cluster", "part", "block").distinct())
-    mine, theirs = (blocks.select("cluster", F.struct("part", "block").alias(x)) for x in ("mine", "theirs"))
-    meeting = mine.join(theirs, "cluster").where("mine <= theirs AND (mine.part <> theirs.part OR mine.part = -1)")
-    seats = meeting.select("cluster", "mine", "theirs", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).where("side = 0 OR mine <> theirs")
-    seats = seats.select("cluster", "mine", "theirs", "side", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("theirs")).alias("own")).select("*", "own.part", "own.block").drop("own")
+    # Two blocks meet if a list has both: once a list and block, then once a pair of blocks.
+    seated = materialize(long.select("value", "node").join(blocked.select("node", "seat"), "node").select("value", "seat").distinct())
+    mine, theirs = seated.withColumnRenamed("seat", "mine"), seated.withColumnRenamed("seat", "theirs")
+    near = "mine <= theirs AND theirs.step - mine.step <= 1 AND (mine.part <> theirs.part OR mine.part = -1)"
+    meeting = materialize(mine.join(theirs, "value").where(near).select("mine", "theirs").distinct())
+    sides = meeting.select("mine", "theirs", F.lit(0).alias("side"), F.col("mine").alias("seat")).unionAll(meeting.where("mine <> theirs").select("mine", "theirs", F.lit(1), "theirs"))
     contents = blocked.join(sets.select("node", "n", "shingles"), "node")
-    seated = contents.join(seats, ["cluster", "part", "block"]).select("cluster", "mine", "theirs", "side", "node", "comp", "n", "shingles")
-    more = seated.groupBy("cluster", "mine", "theirs").applyInArrow(meet, "a long, b long")
+    more = contents.join(sides, "seat").select("mine", "theirs", "side", "node", "comp", "n", "shingles").groupBy("mine", "theirs").applyInArrow(meet, "a long, b long")
     return materialize(found.union(more))
 
 
@@ -234,7 +234,7 @@ def meet(table: pa.Table) -> pa.Table:
     sides = []
     for s in (0, 1) if side.any() else (0,):
         t = table.filter(pa.array(side == s))
-        parts = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
+        parts = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         sides.append((t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), row, np.concatenate(parts)))
     one, two = sides[0], sides[-1]
@@ -267,27 +267,35 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def near_duplicates(df: DataFrame, k: int = K, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    spark = df.sparkSession
-    rows = materialize(sketch(df, k, WORDS, text, id_col))
-    whole = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+def placed_rows(rows: DataFrame, k: int = K, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """_row, doc_id, n_shingles, comp (a number of the group, null for rows that take no part) for numbered() rows."""
+    told = materialize(sketch(rows, k, WORDS, text, id_col))
+    whole = told.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # One row a class; a class's members have the same sketch.
-    classes = materialize(whole.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    classes = materialize(whole.groupBy("set_id").agg(F.min(ROW).alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     lists = listed(classes, k)
-    listed_nodes = lists.select("node").distinct()
-    # Whole sets of the classes in lists only. A repeated id has one of its sets here.
-    of_class = classes.join(listed_nodes, "node", "left_semi").select("set_id", "node", "n", "sketch")
-    sets = materialize(whole.select("set_id", F.col("doc_id").alias("node"), "shingles").join(of_class, ["set_id", "node"]).select("node", "n", "sketch", "shingles"))
-    placed = materialize(rows.select("doc_id", "n_shingles", "set_id"))
-    named = materialize(classes.select("set_id", "node"))
-    discard(rows)
-    discard(classes)
-    del rows, whole, classes, of_class, listed_nodes
-    release(spark)
+    # Whole sets of the classes in lists only, from the text of one row each.
+    wanted = rows.join(lists.select(F.col("node").alias(ROW)).distinct(), ROW, "left_semi")
+    sets = materialize(sketch(wanted, k, WORDS, text, id_col, True).select(F.col(ROW).alias("node"), F.col("n_shingles").alias("n"), "sketch", "shingles"))
     labels = link_rounds(lists, sets, k, ROUNDS)
     discard(sets)
-    named = named.withColumn("comp", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    out = placed.join(named.select("set_id", "comp"), "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = classes.select("set_id", F.col("node").alias("comp")) if labels is None else classes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("comp", "node").alias("comp"))
+    out = told.select(ROW, "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    return out.join(named, "set_id", "left").select(ROW, "doc_id", "n_shingles", "comp")
+
+
+def near_duplicates(df: DataFrame, k: int = K, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    placed = materialize(placed_rows(numbered(df.select(id_col, text)), k, text, id_col))
+    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    component = F.coalesce("least", "doc_id")
+    return placed.join(least, "comp", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(df: DataFrame, k: int = K, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Of each group one row: that with the smallest id, of several such rows one. Rows outside groups stay, all columns too."""
+    rows = numbered(df)
+    placed = materialize(placed_rows(rows, k, text, id_col).where("comp IS NOT NULL"))
+    first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
+    dropped = placed.join(first, "comp").where(F.col(ROW) != F.col("first")[ROW]).select(ROW)
+    return rows.join(dropped, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

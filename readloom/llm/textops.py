@@ -1,12 +1,22 @@
 """Vectorised text passes: words, hashes of spans, character n-grams, and a logistic regression on sparse rows.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D; only A to Z are lowered.
+
+A vectorised step takes some 50 bytes of memory a byte of text, so it sees at most STEP_BYTES at once: longer texts come in
+spans, cut at white space (word_spans), at line ends (line_spans) or anywhere with an overlap (char_grams). A word or line
+that is itself longer stands there as a digest. Memory is then a few times the text's own size, however long it is.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
+from .common import STEP_BYTES, in_steps
+
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -67,20 +77,13 @@ class Words:
         """Hashes of n words in a row, and the text of each; of a text with fewer words, the whole sequence."""
         h = self.hashes()
         out, docs = [], []
-        whole = np.flatnonzero(self.count >= n)
-        if len(whole):
+        if (self.count >= n).any():
             place = np.arange(len(h)) - self.first[self.doc]
             at = np.flatnonzero(place <= self.count[self.doc] - n)
-            value = np.full(len(at), 0x5851F42D4C957F2D, np.uint64)
-            for k in range(n):
-                value = mix(value * np.uint64(0x2545F4914F6CDD1D) + h[at + k])
-            out.append(value)
+            out.append(chained(h, at, n))
             docs.append(self.doc[at])
         for d in np.flatnonzero((self.count > 0) & (self.count < n)):
-            value = np.array([self.count[d]], np.uint64)
-            for k in range(self.count[d]):
-                value = mix(value * np.uint64(0x2545F4914F6CDD1D) + h[self.first[d] + k : self.first[d] + k + 1])
-            out.append(value)
+            out.append(chained(h, self.first[d : d + 1], self.count[d]))
             docs.append(np.array([d]))
         if not out:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -89,25 +92,114 @@ class Words:
         return values[order], docs_[order]
 
 
+def chained(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """One hash of the n word hashes from each place on."""
+    value = np.full(len(at), 0x5851F42D4C957F2D + n, np.uint64)
+    for k in range(n):
+        value = mix(value * np.uint64(0x2545F4914F6CDD1D) + h[at + k])
+    return value
+
+
+LONG = 1 << 16
+_long_word = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % LONG)
+
+
+def _digest(found: re.Match) -> bytes:
+    """Stands for a long word: its first byte, a digest of its lowered bytes, its last two bytes."""
+    word = found[0]
+    return word[:1] + hashlib.blake2b(word.lower(), digest_size=16).hexdigest().encode() + word[-2:]
+
+
+def word_spans(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
+    """The text in spans of at most ``limit`` bytes that cut no word; words of 64 KB or more are replaced by a digest."""
+    if len(text) <= limit:
+        yield text
+        return
+    text, at = _long_word.sub(_digest, text), 0
+    while len(text) - at > limit:
+        end = max(text.rfind(c, at, at + limit) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) + 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def line_spans(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
+    """The text in spans of whole lines of at most ``limit`` bytes; a longer line is replaced by a digest."""
+    at = 0
+    while len(text) - at > limit:
+        end = text.rfind(b"\n", at, at + limit) + 1
+        if end:
+            yield text[at:end]
+        else:
+            end = text.find(b"\n", at + limit) + 1 or len(text)
+            yield hashlib.blake2b(memoryview(text)[at:end]).hexdigest().encode()
+        at = end
+    yield text[at:]
+
+
+def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, rising."""
+    for a, b in in_steps([len(t) for t in texts]):
+        if len(texts[a]) > STEP_BYTES:  # alone in its step
+            yield _long_shingles(texts[a], n)
+            continue
+        values, docs = Words(texts[a:b]).shingles(n)
+        order = np.lexsort((values, docs))
+        values, docs = values[order], docs[order]
+        new = np.ones(len(values), bool)
+        new[1:] = (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])
+        values, docs = values[new], docs[new]
+        edge = np.searchsorted(docs, np.arange(b - a + 1))
+        for i in range(b - a):
+            yield values[edge[i] : edge[i + 1]]
+
+
+def _long_shingles(text: bytes, n: int) -> np.ndarray:
+    found, carry = [], np.zeros(0, np.uint64)
+    for span in word_spans(text):
+        h = np.concatenate([carry, Words([span]).hashes()])
+        if len(h) >= n:
+            found.append(np.unique(chained(h, np.arange(len(h) - n + 1), n)))
+            h = h[len(h) - n + 1 :]
+        carry = h
+    if not found and len(carry):
+        return chained(carry, np.zeros(1, np.int64), len(carry))
+    return np.unique(np.concatenate(found)) if found else carry
+
+
 GRAM = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _space = LOWER.copy()
 _space[WHITE] = 32
 _to_space = _space.tobytes()
 
 
-def char_grams(texts: list[bytes], orders: tuple[int, ...], bits: int):
-    """For each order: hashes (``bits`` bits) of the n-grams of bytes at every position, and the texts' borders.
+def char_grams(texts: list[bytes], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes (``bits`` bits) of the n-grams of bytes at every position, and the text of each, in steps of bounded size.
 
-    A-Z are lowered and white space is a space; each text is put between spaces, so no n-gram meets another text.
+    A-Z are lowered and white space is a space; each text is put between spaces, so no n-gram meets another text. A long
+    text comes in spans which overlap by all but one letter of the longest n-gram, so an n-gram may come twice.
     """
-    pad = b" " * max(orders)
-    raw = np.frombuffer(b"".join([x for t in texts for x in (b" ", t.translate(_to_space), pad)]), np.uint8).astype(np.uint64)
-    border = np.append(0, np.cumsum([len(t) + 1 + len(pad) for t in texts]))
+    most = max(orders)
+    for a, b in in_steps([len(t) for t in texts]):
+        if len(texts[a]) <= STEP_BYTES:
+            joined = [x for t in texts[a:b] for x in (b" ", t.translate(_to_space), b" " * most)]
+            owner = np.repeat(np.arange(a, b), [len(t) + 1 + most for t in texts[a:b]])
+            yield from _grams(b"".join(joined), owner, orders, bits)
+            continue
+        whole = b" " + texts[a].translate(_to_space) + b" " * most
+        for at in range(0, len(whole), STEP_BYTES):
+            span = whole[at : at + STEP_BYTES + most - 1]
+            yield from _grams(span, np.full(len(span), a), orders, bits)
+
+
+def _grams(data: bytes, owner: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
     value = np.zeros(len(raw), np.uint64)
-    for n in range(1, max(orders) + 1):
+    for n in range(1, min(max(orders), len(raw)) + 1):
         value[: len(raw) - n + 1] += raw[n - 1 :] * GRAM[n - 1]
         if n in orders:
-            yield n, (mix(value + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64), border
+            whole = len(raw) - n + 1
+            yield (mix(value[:whole] + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64), owner[:whole]
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, targets: np.ndarray, width: int, ridge: float, steps: int = 150, weights: np.ndarray | None = None) -> np.ndarray:
