@@ -31,6 +31,7 @@ from .common import map_batches, strings
 
 #: Entries of a worker's word memo, and the longest word that enters it.
 MEMO, MEMO_WORD = 250_000, 64
+LONG = 1 << 20
 
 END = "\x00"
 #: No letter is newer to our tables than to the library's below this code point.
@@ -203,12 +204,12 @@ class Bpe:
             return self.normalizer.normalize_str(text)
         return text.lower() if self.lower else text
 
-    def cut(self, text: str) -> list[str]:
-        """The pattern's pieces of a normal text."""
+    def cut(self, text: str) -> Iterable[str]:
+        """The pattern's pieces of a normal text; those of a very long one are not held at once."""
         if rare() and largest_unit(text) >= LEAST_RARE and rare().search(text):
             like = text.translate(dict.fromkeys(map(ord, newer()), "\uffff"))  # neither letter nor number
-            return [text[m.start() : m.end()] for m in self.pattern.finditer(like)]
-        return self.pattern.findall(text)
+            return (text[m.start() : m.end()] for m in self.pattern.finditer(like))
+        return self.pattern.findall(text) if len(text) <= LONG else (m.group() for m in self.pattern.finditer(text))
 
     def pieces(self, text: str) -> Iterable[str | int]:
         """The text's words in order; added tokens as their ids."""

@@ -3,6 +3,7 @@
 Nulls: a null image gives null features. Bytes in no known format, or cut short, give ``error`` and null features.
 Images without pixels count as errors. Repeated rows keep their number; equal bytes give equal features.
 Other columns pass through unless their names clash with the features' names, which win.
+Texts and images of any length: the integral image is made of 1 MB at a time; an image's bytes themselves are held a few times.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import map_batches
 
 TILE = 16
+#: Samples of a band of the integral image.
+BAND = 1 << 20
 #: A payload is padded to a multiple of this: rows of 24 samples.
 UNIT, WIDTH = 576, 24
 
@@ -27,7 +30,11 @@ UNIT, WIDTH = 576, 24
 def encode_pgm(samples: np.ndarray | bytes, width: int) -> bytes:
     """8-bit grey samples as binary Netpbm (P5)."""
     data = samples if isinstance(samples, bytes) else samples.tobytes()
-    return b"P5\n%d %d\n255\n" % (width, len(data) // width) + data
+    return pgm_header(width, len(data)) + data
+
+
+def pgm_header(width: int, size: int) -> bytes:
+    return b"P5\n%d %d\n255\n" % (width, size // width)
 
 
 def _header(data: bytes, n: int, at: int = 2) -> tuple[list[int], int]:
@@ -111,15 +118,26 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, with fractional edges, from one integral image (float64)."""
+    """Mean over each target cell's area, with fractional edges, from the integral image (float64).
+
+    The integral image is made in bands of rows, of which only the rows at cell borders stay.
+    """
     h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(image, axis=0, out=total[1:, 1:], dtype=np.float64)
-    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
     y, x = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
     y0, x0 = np.minimum(y.astype(int), h - 1), np.minimum(x.astype(int), w - 1)
     fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    rows = total[y0] * (1 - fy) + total[y0 + 1] * fy
+    wanted = np.unique(np.concatenate([y0, y0 + 1]))
+    kept, above = np.zeros((len(wanted), w + 1)), np.zeros(w + 1)
+    band = max(1, BAND // w)
+    for a in range(0, h, band):
+        total = np.zeros((min(band, h - a) + 1, w + 1))  # its row i: the sum of all rows before a + i
+        np.cumsum(image[a : a + band], axis=0, out=total[1:, 1:], dtype=np.float64)
+        np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
+        total += above
+        own = (wanted >= a) & (wanted < a + len(total))
+        kept[own] = total[wanted[own] - a]
+        above = total[-1].copy()
+    rows = kept[np.searchsorted(wanted, y0)] * (1 - fy) + kept[np.searchsorted(wanted, y0 + 1)] * fy
     at = rows[:, x0] * (1 - fx) + rows[:, x0 + 1] * fx
     cells = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
     return cells / (np.diff(y)[:, None] * np.diff(x)[None, :])
@@ -145,9 +163,13 @@ def text_to_media(df: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
     def make():
         def f(batch):
-            texts = utf8(batch.column(1))
-            media = [encode_pgm(x + b"\xff" * ((-len(x)) % UNIT if x else UNIT), WIDTH) for x in texts]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+            sizes, media = [], []
+            for x in batch.column(1).cast(pa.binary()):
+                data = x.as_py() or b""
+                fill = (-len(data)) % UNIT if data else UNIT
+                sizes.append(len(data))
+                media.append(b"".join([pgm_header(WIDTH, len(data) + fill), data, b"\xff" * fill]))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
         return f
 

@@ -134,26 +134,33 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node reachable, for every node of an edge (a, b). Edges contract until none is left.
 
-    Every round each node takes its smallest neighbour as parent, twice over; what has a common parent becomes one.
+    Every round orders the nodes by a new hash; each takes the first of its neighbours and itself as parent, twice over, and
+    what has a common parent becomes one. On any graph, chains and stars too, a share of the nodes goes in every round.
     """
-    labels = None
+    labels, turn = None, 0
     edges = materialize(edges.where("a <> b"))
     while not edges.isEmpty():
         either = edges.union(edges.select("b", "a")).toDF("node", "other")
-        parent = either.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("up"))
-        parent = materialize(parent)
+
+        def ranked(name: str):
+            return F.struct(F.xxhash64(name, F.lit(turn)).alias("h"), F.col(name).alias("up"))  # noqa: B023
+
+        parent = materialize(either.groupBy("node").agg(F.min(ranked("other")).alias("x")).select("node", F.least("x", ranked("node"))["up"].alias("up")))
         above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
         parent = materialize(parent.join(above, "up").select("node", F.col("top").alias("comp")))
         if labels is None:
             labels = parent
         else:
             onward = parent.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-            labels = labels.join(onward, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
-            labels = materialize(labels)
+            labels = materialize(labels.join(onward, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))
         at = {x: parent.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab"}
         left = edges.join(at["a"], "a").join(at["b"], "b").where("c_a <> c_b")
         edges = materialize(left.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        turn += 1
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    least = labels.groupBy("comp").agg(F.min("node").alias("least"))
+    return materialize(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
 
 
 def link_rounds(lists: DataFrame, sets: DataFrame, k: int, rounds: int) -> DataFrame | None:

@@ -183,8 +183,14 @@ def char_grams(texts: list[bytes], orders: tuple[int, ...], bits: int) -> Iterat
     for a, b in in_steps([len(t) for t in texts]):
         if len(texts[a]) <= STEP_BYTES:
             joined = [x for t in texts[a:b] for x in (b" ", t.translate(_to_space), b" " * most)]
-            owner = np.repeat(np.arange(a, b), [len(t) + 1 + most for t in texts[a:b]])
-            yield from _grams(b"".join(joined), owner, orders, bits)
+            sizes = np.array([len(t) + 1 + most for t in texts[a:b]])
+            owner, ends = np.repeat(np.arange(a, b), sizes), np.cumsum(sizes)
+            for n, (value, doc) in zip(sorted(orders), _grams(b"".join(joined), owner, orders, bits), strict=True):
+                # What begins so late that it reaches the next text becomes the text's first n-gram once more.
+                late = (ends[:, None] - np.arange(1, n)).ravel()
+                inside = late < len(value)
+                value[late[inside]] = np.repeat(value[ends - sizes], n - 1)[inside]
+                yield value, doc
             continue
         whole = b" " + texts[a].translate(_to_space) + b" " * most
         for at in range(0, len(whole), STEP_BYTES):

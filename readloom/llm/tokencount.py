@@ -2,10 +2,11 @@
 
 Two deterministic transducers run one after the other.
 
-* The pattern that cuts a text into pieces is a machine of 11 states over 13 classes of letters. A transition tells how
-  many cuts it finds and where (before this letter, before the one before it). Texts are laid out in chunks; every chunk's
-  state map (end state for each start state) is computed for all chunks at once, the maps of a text's chunks are
-  composed by a parallel prefix scan, and with the start states known all chunks emit their cuts at once.
+* The pattern that cuts a text into pieces is a machine of 11 states over 12 classes of letters (the text's end is one). A
+  transition tells how many cuts it finds and where (before this letter, before the one before it). Texts are laid out in
+  chunks, and every chunk's map is computed for all chunks at once: for each start state the end state and the number of
+  tokens of the pieces that begin in the chunk. The maps of a text's chunks are composed by a parallel prefix scan
+  (end states follow each other, numbers add up), and the composed map's number for a fresh start is the text's.
 * BPE inside a piece is a machine over bytes. Its state is what later bytes can still depend on: the longest suffix of
   the piece that begins a token, and the last token at each border inside it. Transitions carry the change of the
   count (a longer token may replace shorter ones, so it can be negative); they are compiled when first met and kept up
@@ -18,6 +19,7 @@ more steps of the machine; neither needs a limit. Other columns stay out.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,13 @@ from .common import in_steps, map_batches, strings
 
 LIMIT = 1024
 #: Letters in a chunk; letters worked on at once; compiled states and composed pieces that a worker keeps at once.
-CHUNK, STEP, STATES, COMPOSED = 64, 1 << 20, 300_000, 1_000_000
+CHUNK, STEP, STATES, COMPOSED = 256, 1 << 20, 300_000, 1_000_000
 
 # Classes of letters.
-(SPACE, WHITE, LETTER, ONE, ER, E, ELL, NUMBER, QUOTE, OTHER, PAD) = range(11)
+(SPACE, WHITE, LETTER, ONE, ER, E, ELL, NUMBER, QUOTE, OTHER, LAST, PAD) = range(12)
 # States of the cutter.
 (FRESH, LET, NUM, OTH, SP, SPS, WH, WHS, APO, RV, EL) = range(11)
+N = 11
 
 
 @functools.cache
@@ -53,11 +56,11 @@ def classes() -> np.ndarray:
 @functools.cache
 def cutter() -> tuple[np.ndarray, np.ndarray]:
     """next[class, state] and cuts[class, state]: 1 before this letter, 2 before the one before it."""
-    nxt, cut = np.zeros((11, 11), np.uint8), np.zeros((11, 11), np.uint8)
+    nxt, cut = np.zeros((12, N), np.uint8), np.zeros((12, N), np.uint8)
     letters = (LETTER, ONE, ER, E, ELL)
     begin = {SPACE: SP, WHITE: WH, **dict.fromkeys(letters, LET), NUMBER: NUM, QUOTE: APO, OTHER: OTH}
     for c, first in begin.items():
-        for s in range(11):
+        for s in range(N):
             nxt[c, s], cut[c, s] = first, 1  # a new piece, unless a rule below says otherwise
 
         def rule(s, to, cuts):
@@ -89,60 +92,113 @@ def cutter() -> tuple[np.ndarray, np.ndarray]:
                 rule(s, FRESH, 0)  # 're 've 'll
             else:
                 rule(s, first, 2 if c in letters else 3)  # no contraction: the quote stood alone
-    nxt[PAD] = np.arange(11)
+    cut[LAST] = 1
+    cut[LAST, [RV, EL]] = 3  # the text ends in 'r, 'v or 'l: the quote stood alone
+    nxt[PAD] = np.arange(N)
     return nxt, cut
 
 
-def cuts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts joined, the positions where pieces begin (and the end), and the number of pieces of each text."""
-    joined = "".join(texts)
-    sizes = np.array([len(x) for x in texts], np.int64)
-    total = int(sizes.sum())
-    if not total:
-        return joined, np.zeros(1, np.int64), np.zeros(len(texts), np.int64)
-    kind = classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    nxt, cut = cutter()
-    # Each text begins a chunk.
-    per = -(-sizes // CHUNK)
-    first = np.cumsum(per) - per
-    n = int(per.sum())
-    owner = np.repeat(np.arange(len(texts)), per)
-    inside = np.arange(n) - first[owner]
-    begin = np.cumsum(sizes) - sizes
-    at = begin[owner] + inside * CHUNK
-    length = np.minimum(sizes[owner] - inside * CHUNK, CHUNK)
-    grid = np.full((CHUNK, n), PAD, np.uint8)
-    flat = np.arange(total)
-    where = flat - np.repeat(begin, sizes)
-    grid[where % CHUNK, np.repeat(first, sizes) + where // CHUNK] = kind
-    # State maps of texts with more than one chunk, composed by a scan in doubling steps.
-    start = np.zeros(n, np.uint8)
-    many = np.flatnonzero(per[owner] > 1)
-    if len(many):
-        maps = np.tile(np.arange(11, dtype=np.uint8), (len(many), 1))
-        for row in grid[:, many]:
-            maps = nxt[row[:, None], maps]
-        step, place = 1, inside[many]
-        while step <= int(place.max()):
-            late = np.flatnonzero(place >= step)  # compose with the map that ends where this one begins
-            maps[late] = np.take_along_axis(maps[late], maps[late - step], axis=1)
+class Chunks:
+    """Chunks of some texts and what the cutter does in them.
+
+    Letters are places in ``joined``, where each text has one more place at its end. ends[chunk, s]: the end state;
+    heads: (chunk, s, place) of cuts found while start states still differ; common: (chunk, place) of those found after.
+    """
+
+    def __init__(self, texts: list[str]):
+        sizes = np.array([len(x) + 1 for x in texts], np.int64)
+        total = int(sizes.sum())
+        self.joined = "\n".join(texts) + "\n"
+        self.begin = np.cumsum(sizes) - sizes
+        kind = classes()[np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        kind[self.begin + sizes - 1] = LAST
+        per = -(-sizes // CHUNK)
+        self.last = np.cumsum(per) - 1
+        first, n = self.last + 1 - per, int(per.sum())
+        self.owner = np.repeat(np.arange(len(texts)), per)
+        self.inside = np.arange(n) - first[self.owner]
+        self.at = self.begin[self.owner] + self.inside * CHUNK
+        self.length = np.minimum(sizes[self.owner] - self.inside * CHUNK, CHUNK)
+        grid = np.full((CHUNK, n), PAD, np.uint8)
+        where = np.arange(total) - np.repeat(self.begin, sizes)
+        grid[where % CHUNK, np.repeat(first, sizes) + where // CHUNK] = kind
+        self._run(grid, n)
+
+    def _run(self, grid: np.ndarray, n: int) -> None:
+        nxt, cut = cutter()
+        states, heads, k = np.tile(np.arange(N, dtype=np.uint8), (n, 1)), [], 0
+        while k < CHUNK and (states[self.length > k] != states[self.length > k][:, :1]).any():
+            row = grid[k][:, None]
+            c = cut[row, states]
+            states = nxt[row, states]
+            for bit, back in ((2, 1), (1, 0)):
+                chunk, s = np.nonzero(c & bit)
+                heads.append((chunk, s, self.at[chunk] + k - back))
+            k += 1
+        state, common = states[:, 0], []
+        for row in grid[k:]:
+            c = cut[row, state]
+            state = nxt[row, state]
+            for bit, back in ((2, 1), (1, 0)):
+                chunk = np.flatnonzero(c & bit)
+                common.append((chunk, self.at[chunk] + k - back))
+            k += 1
+        self.ends = np.where((self.length > k - len(common) // 2)[:, None], state[:, None], states)
+        chunk, s, place = (np.concatenate(x) for x in zip(*heads, strict=True)) if heads else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((place, s, chunk))
+        self.heads = chunk[order], s[order], place[order]
+        chunk, place = (np.concatenate(x) for x in zip(*common, strict=True)) if common else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((place, chunk))
+        self.common = chunk[order], place[order]
+
+    def counts(self, words: Memo) -> np.ndarray:
+        """Tokens of each text: the chunks' maps, composed."""
+        n, joined = len(self.owner), self.joined
+        (hc, hs, hp), (cc, cp) = self.heads, self.common
+        # The first cut that a chunk finds, for each start state.
+        none = -2  # a cut may be found one place before the chunk
+        after = np.full(n, none, np.int64)
+        new = np.append(True, cc[1:] != cc[:-1])[: len(cc)]
+        after[cc[new]] = cp[new]
+        first = np.repeat(after[:, None], N, axis=1)
+        head = hc * N + hs
+        new = np.append(True, head[1:] != head[:-1])[: len(head)]
+        first.reshape(-1)[head[new]] = hp[new]
+        for i in np.flatnonzero((first == none).any(axis=1))[::-1]:  # pieces longer than a chunk
+            first[i] = np.where(first[i] == none, first[i + 1][self.ends[i]], first[i])
+        # Where the piece ends that a chunk's last cut begins: the first cut from the next chunk on, or the text's end.
+        stop = np.append(self.begin, len(joined))[self.owner + 1] - 1
+        following = np.repeat(stop[:, None], N, axis=1)
+        inner = np.flatnonzero(self.owner[1:] == self.owner[:-1])
+        following[inner] = np.take_along_axis(first[inner + 1], self.ends[inner], axis=1)
+
+        def tokens(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.fromiter(map(words.__getitem__, map(joined.__getitem__, map(slice, a.tolist(), b.tolist()))), np.int64, len(a))
+
+        end = np.append(cp[1:], 0)[: len(cp)]
+        edge = np.append(cc[1:] != cc[:-1], True)[: len(cc)]
+        end[edge] = following[cc[edge], 0]  # after a common cut all start states have one end state
+        numbers = np.repeat(np.rint(np.bincount(cc, tokens(cp, end), n)).astype(np.int64)[:, None], N, axis=1)
+        end = np.append(hp[1:], 0)[: len(hp)]
+        edge = np.append(head[1:] != head[:-1], True)[: len(head)]
+        end[edge] = np.where(after[hc[edge]] != none, after[hc[edge]], following[hc[edge], hs[edge]])
+        piece, back = np.unique(hp << 31 | (end - hp), return_inverse=True)  # start states mostly share them
+        found = tokens(piece >> 31, (piece >> 31) + (piece & ((1 << 31) - 1)))
+        numbers += np.rint(np.bincount(head, found[back], n * N)).astype(np.int64).reshape(n, N)
+        return self.composed(numbers)[self.last]
+
+    def composed(self, numbers: np.ndarray) -> np.ndarray:
+        """For each chunk the tokens from its text's begin, by a scan in doubling steps over (end state, number) maps."""
+        ends, numbers = self.ends.copy(), numbers.copy()
+        many = np.flatnonzero(np.bincount(self.owner, minlength=len(self.begin))[self.owner] > 1)
+        step, most = 1, int(self.inside.max(initial=0))
+        while step <= most:
+            late = many[self.inside[many] >= step]  # compose with the map that ends where this one begins
+            before = ends[late - step]
+            numbers[late] = numbers[late - step] + np.take_along_axis(numbers[late], before, axis=1)
+            ends[late] = np.take_along_axis(ends[late], before, axis=1)
             step *= 2
-        later = np.flatnonzero(place > 0)
-        start[many[later]] = maps[later - 1, FRESH]
-    marks = np.zeros(total + 2, bool)
-    state = start
-    for k, row in enumerate(grid):
-        c = cut[row, state]
-        state = nxt[row, state]
-        marks[at[(c & 1) > 0] + k] = True
-        marks[at[(c & 2) > 0] + k - 1] = True
-    last = np.flatnonzero(inside == per[owner] - 1)
-    open_ = last[(state[last] == RV) | (state[last] == EL)]
-    marks[at[open_] + length[open_] - 1] = True  # the text ends in 'r, 'v or 'l
-    marks[begin[sizes > 0]] = True
-    places = np.flatnonzero(marks[:total])
-    counts = np.diff(np.searchsorted(places, np.append(begin, total)))
-    return joined, np.append(places, total), counts
+        return numbers[:, FRESH]
 
 
 class CountingBpe:
@@ -218,6 +274,19 @@ class CountingBpe:
 _memos: dict[str, Memo] = {}
 
 
+#: A space after a letter begins a piece, whatever the cutter's state.
+_sure = re.compile("(?<=[A-Za-z]) ")
+
+
+def stretches(text: str) -> list[str]:
+    """A very long text in parts of about STEP letters that have no piece in common; few texts have no such place."""
+    out, at = [], 0
+    while len(text) - at > 2 * STEP and (found := _sure.search(text, at + STEP)):
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 def count_texts(texts: list[str], path: str) -> list[int]:
     bpe = model(path)
     if path not in _memos:
@@ -228,23 +297,15 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     added = [0] * len(texts)
     owner: list[int] = []
     for i, x in enumerate(texts):
-        if bpe.added and "<" in x and bpe.split_added.search(x):
-            for part in bpe.split_added.split(x):
-                if part in bpe.added:
-                    added[i] += 1
-                else:
-                    parts.append(part)
-                    owner.append(i)
-        else:
-            parts.append(x)
-            owner.append(i)
-    for a, b in in_steps([len(x) for x in parts], STEP):
-        joined, places, counts = cuts(parts[a:b])
-        at = places.tolist()
-        sums = np.fromiter(map(words.__getitem__, map(joined.__getitem__, map(slice, at, at[1:]))), np.int64, len(at) - 1)
-        ends = np.append(0, np.cumsum(sums))
-        stop = np.cumsum(counts)
-        whole += (ends[stop] - ends[stop - counts]).tolist()
+        for part in bpe.split_added.split(x) if bpe.added and "<" in x and bpe.split_added.search(x) else [x]:
+            if part in bpe.added:
+                added[i] += 1
+            else:
+                found = stretches(part)
+                parts += found
+                owner += [i] * len(found)
+    for a, b in in_steps([len(x) + 1 for x in parts], STEP):
+        whole += Chunks(parts[a:b]).counts(words).tolist()
     for i, n in zip(owner, whole, strict=True):
         added[i] += n
     return added

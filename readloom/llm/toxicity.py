@@ -1,65 +1,81 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes at most ``FIT_ROWS`` labelled rows outside fold 0 (those with the smallest hash of their id). Every hashed
+Training takes at most ``FIT_ROWS`` labelled texts outside fold 0 (those whose ids have the smallest hashes; rows that repeat an
+id and its text count once, and of several texts under one id the ``PER_ID`` with the smallest hashes). Every hashed
 n-gram's document counts in both classes are summed over that sample; the ``WIDTH`` n-grams with the largest likelihood
 ratio statistic are the features, each scaled by its log-count ratio; a logistic regression is fitted on them. Only these
 features travel to the executors. Scoring reads whole texts and nothing but texts.
 
 Null and empty texts score by the intercept alone. Labels that are null don't count; a document labelled twice is toxic
 if any of its labels says so. Without labels, or with one class only, every score is the smoothed share of toxic labels.
-Extra columns pass through score() unless they clash with ``score`` and ``predicted``, which win.
+Extra columns pass through score() unless they clash with ``score`` and ``predicted``, which win. Texts of any length: n-grams
+are made of 512 KB at a time, in spans that overlap.
 """
 
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, in_steps, map_batches, materialize, utf8
+from .common import crc_fold, map_batches, materialize, utf8
 from .textops import char_grams, logistic
 
-FIT_ROWS, WIDTH, ORDERS, BITS = 20_000, 2048, (3, 4, 5, 6), 22
+FIT_ROWS, PER_ID, WIDTH, ORDERS, BITS = 20_000, 4, 2048, (3, 4, 5, 6), 22
 RANGES = 64
-#: Bytes worked on at once: every byte takes some 60 bytes of memory meanwhile.
-STEP = 1 << 19
 FOLDS, HELD_OUT = 5, 0
 
 
 @dataclasses.dataclass
 class Model:
-    """Hash of each feature (sorted), its weight times its ratio, and the intercept."""
+    """Hash of each feature (sorted), its weight times its ratio, the intercept, and the ratios."""
 
     features: np.ndarray
     weights: np.ndarray
     intercept: float
+    ratios: np.ndarray = dataclasses.field(default_factory=lambda: np.zeros(0))
 
 
-def _present(texts: list[bytes]):
-    """(text, feature) pairs, once each; of one order after the other."""
-    for a, b in in_steps([len(t) for t in texts], STEP):
-        for _, value, border in char_grams(texts[a:b], ORDERS, BITS):
-            doc = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(border))
-            both = np.unique(doc << BITS | value)
-            yield (both >> BITS) + a, both & ((1 << BITS) - 1)
+def _present(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, feature) pairs, once each."""
+    kept: list[np.ndarray] = []
+
+    def once():
+        both = np.unique(np.concatenate(kept))
+        return both >> BITS, both & ((1 << BITS) - 1)
+
+    for value, doc in char_grams(texts, ORDERS, BITS):
+        if not len(value):
+            continue
+        if kept and kept[0][0] >> BITS != doc[0]:  # another step: the texts before it are done
+            yield once()
+            kept = []
+        kept.append(np.unique(doc.astype(np.int64) << BITS | value))
+        if sum(map(len, kept)) > 1 << BITS:  # spans of a long text
+            kept = [np.unique(np.concatenate(kept))]
+    if kept:
+        yield once()
 
 
 def sample(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """toxic, text of the training rows; a written table of at most ``rows`` rows for each id once."""
+    """toxic, text, doc_id, h of the training rows; a written table of at most ``rows`` ids with ``PER_ID`` texts each."""
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_fold("doc_id", FOLDS) != HELD_OUT))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     # At most ``rows`` ids with a label: this side's size is bounded.
-    return materialize(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text"))
+    found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    own = found.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
+    return materialize(own.withColumn("place", place).where(F.col("place") <= PER_ID).select("toxic", "text", "doc_id", "h"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, width: int = WIDTH) -> Model:
-    spark = documents.sparkSession
     chosen = sample(documents, labels, rows)
     sizes = {r["toxic"]: r["n"] for r in chosen.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -108,16 +124,16 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, width: in
         for batch in batches:
             row, column = _hits(utf8(batch.column(1)), features)
             parts = np.split(column.astype(np.int16), np.searchsorted(row, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x > 0) for x in batch.column(0).to_pylist()], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["toxic", "hits"])
+            toxic = pa.array([int(x > 0) for x in batch.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([toxic, pa.array([p.tobytes() for p in parts], pa.binary()), batch.column(2), batch.column(3)], ["toxic", "hits", "doc_id", "h"])
 
-    got = chosen.mapInArrow(hits, "toxic int, hits binary").toPandas()
+    got = chosen.mapInArrow(hits, "toxic int, hits binary, doc_id long, h long").toPandas().sort_values(["doc_id", "h"])
     columns = [np.frombuffer(x, np.int16).astype(np.int64) for x in got["hits"]]
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     column = np.concatenate(columns) if columns else np.zeros(0, np.int64)
     w = logistic(row, column, ratios[column], got["toxic"].to_numpy(float), len(features), ridge=1e-4)
     used = np.abs(w[:-1] * ratios) > 1e-6
-    del spark
-    return Model(features[used], (w[:-1] * ratios)[used], float(w[-1]))
+    return Model(features[used], (w[:-1] * ratios)[used], float(w[-1]), ratios[used])
 
 
 def _hits(texts: list[bytes], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +141,10 @@ def _hits(texts: list[bytes], features: np.ndarray) -> tuple[np.ndarray, np.ndar
     known = np.zeros(1 << BITS, np.int16)
     known[features] = np.arange(1, len(features) + 1)
     found = []
-    for a, b in in_steps([len(t) for t in texts], STEP):
-        for _, value, border in char_grams(texts[a:b], ORDERS, BITS):
-            index = known[value]
-            at = np.flatnonzero(index)
-            doc = np.searchsorted(border, at, "right") - 1 + a
-            found.append(np.unique(doc << 16 | index[at]))
+    for value, doc in char_grams(texts, ORDERS, BITS):
+        index = known[value]
+        at = np.flatnonzero(index)
+        found.append(np.unique(doc[at].astype(np.int64) << 16 | index[at]))
     both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return both >> 16, (both & 0xFFFF) - 1
 

@@ -1,8 +1,8 @@
 """WARC archives as a PySpark data source, read and written.
 
-Files hold one gzip member a record. Each member names its own length in its header's extra field ('RL', the compressed
-length as an unsigned 32-bit number), so a reader can pass over a record without decoding it; members without the field are
-decoded to find their end. A folder's manifest (written on commit) lists the files with the places where a partition may
+Files hold one gzip member a record. Each member names its own length in its header's extra field ('RL', an unsigned 64-bit
+number) and the CRC-32 of the record's headers and of the packed bytes ('HC'), so a reader can trust the headers and pass over a record without
+decoding its payload; members without the fields are decoded to find their end. A folder's manifest (written on commit) lists the files with the places where a partition may
 begin, about every ``split`` bytes.
 
 Reading: partitions are planned from the manifest, or one a file. A record's headers are decoded first; records whose
@@ -15,14 +15,18 @@ Columns: file, offset, record_type, record_id, target_uri, page_id, payload_dige
 
 Nulls: a null html is an empty payload; a null url has no WARC-Target-URI; a row with a null page_id has no id header, and
 is a response, for nothing can refer to it. Rows that share the smallest page_id of equal payloads are all responses.
-An empty table gives an archive without files. Damaged records raise an error.
+An empty table gives an archive without files. Damage raises an error: headers are checked wherever a record is met, and a
+payload that is read against the member's CRC-32 and length, the record's length, and the digest in its headers. What is
+passed over is not decoded and so not checked. Payloads of any length: one is in memory at a time, packed and unpacked.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -69,12 +73,16 @@ def urn(page_id: int) -> str:
     return f"<urn:page:{page_id}>"
 
 
+EXTRA = struct.Struct("<2sHQ2sHII")
+FIXED = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"
+
+
 def member(data: bytes) -> bytes:
-    """One gzip member with its own length in the extra field."""
+    """One gzip member with its own length, and the CRC-32 of the headers in ``data`` and of the packed data, in the extra field."""
     pack = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = pack.compress(data) + pack.flush()
-    total = 10 + 2 + 8 + len(body) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHI", 8, b"RL", 4, total) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = EXTRA.pack(b"RL", 8, len(FIXED) + 2 + EXTRA.size + len(body) + 8, b"HC", 8, zlib.crc32(data[: data.find(b"\r\n\r\n") + 4]), zlib.crc32(body))
+    return FIXED + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -214,7 +222,9 @@ class WarcReader(DataSourceReader):
             for at, head, load in records(data, partition.start, partition.end, partition.name.endswith(".gz")):
                 if self.types and head["record_type"] not in self.types or not all(t(head) for t in self.tests):
                     continue
-                payload = load() if self.payload and head["record_type"] != "revisit" else None
+                payload = load() if self.payload else None
+                if head["record_type"] == "revisit":
+                    payload = None
                 found.append((partition.name.rsplit("/", 1)[-1], at, *(head[k] for k in ARROW.names[2:9]), list(head["headers"].items()), payload))
                 held += len(payload or b"") + 500
                 if held > 8 << 20:
@@ -261,13 +271,34 @@ def _head(lines: bytes) -> dict:
     digest = low.get("warc-payload-digest")
     return {
         "record_type": low.get("warc-type"), "record_id": low.get("warc-record-id"), "target_uri": low.get("warc-target-uri"), "page_id": page("warc-record-id"),
+        "digest": digest[7:] if digest and re.fullmatch("sha256:[0-9a-f]{64}", digest) and "x-payload-length" in low else None,
         "payload_digest": digest.removeprefix("sha256:") if digest else None, "payload_bytes": int(low.get("x-payload-length", low.get("content-length", "0"))),
         "refers_to": page("warc-refers-to"), "headers": headers, "length": int(low.get("content-length", "0")),
     }
 
 
+def damaged(at: int, what: str) -> ValueError:
+    return ValueError(f"damaged record at {at}: {what}")
+
+
+def _content(at: int, head: dict, rest: bytes) -> bytes:
+    """The block, from what follows the headers: the block and two line ends. Digests of our own records are checked."""
+    n = head["length"]
+    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+        raise damaged(at, "its length")
+    block = rest[:n]
+    if head["digest"] and n == head["payload_bytes"] and hashlib.sha256(block).hexdigest() != head["digest"]:
+        raise damaged(at, "its digest")
+    return block
+
+
+def _checked(at: int, data: bytes, trailer: bytes) -> None:
+    if len(trailer) < 8 or struct.unpack("<II", trailer) != (zlib.crc32(data), len(data) & 0xFFFFFFFF):
+        raise damaged(at, "its checksum")
+
+
 def records(data: io.BufferedReader, at: int, end: int, packed: bool):
-    """(offset, head, function that decodes the payload) of each record; load is good until the next step."""
+    """(offset, head, function that decodes and checks the payload) of each record; load is good until the next step."""
     while at < end:
         if not packed:
             lines = b""
@@ -275,30 +306,29 @@ def records(data: io.BufferedReader, at: int, end: int, packed: bool):
                 line = data.readline()
                 if not line:
                     if lines.strip():
-                        raise ValueError("record ends early")
+                        raise damaged(at, "it ends early")
                     return
                 lines += line
             head = _head(lines[:-4])
-            block = _Lazy(data, head["length"])
-            yield at, head, block.load
-            block.load()
-            data.read(4)
+            block = _Lazy(data, head["length"] + 4)
+            yield at, head, lambda at=at, head=head, block=block: _content(at, head, block.load())
+            if block.load()[head["length"] :] != b"\r\n\r\n":
+                raise damaged(at, "its length")
             at += len(lines) + head["length"] + 4
             continue
         fixed = data.read(10)
-        if len(fixed) < 10 or fixed[:3] != b"\x1f\x8b\x08":
+        if len(fixed) < 10 or fixed[:3] != FIXED[:3]:
             raise ValueError(f"no gzip member at {at}")
-        flags, used, total = fixed[3], 10, None
+        flags, used, total, header_crc, body_crc = fixed[3], 10, None, None, None
         if flags & 4:
-            (n,) = struct.unpack("<H", data.read(2))
-            extra = data.read(n)
-            used += 2 + n
-            k = 0
-            while k + 4 <= n:
-                size = struct.unpack_from("<H", extra, k + 2)[0]
-                if extra[k : k + 2] == b"RL" and size == 4:
-                    (total,) = struct.unpack_from("<I", extra, k + 4)
-                k += 4 + size
+            size = data.read(2)
+            extra = data.read(int.from_bytes(size, "little"))
+            used += 2 + len(extra)
+            if extra[:2] == b"RL" or extra[12:14] == b"HC":  # one of ours, which has one form only
+                own = EXTRA.unpack(extra) if len(extra) == EXTRA.size else ()
+                if fixed != FIXED or (*own[:2], *own[3:5]) != (b"RL", 8, b"HC", 8):
+                    raise damaged(at, "its member's header")
+                total, header_crc, body_crc = own[2], own[5], own[6]
         for bit in (8, 16):  # file name, comment
             while flags & bit:
                 c = data.read(1)
@@ -308,36 +338,48 @@ def records(data: io.BufferedReader, at: int, end: int, packed: bool):
         if flags & 2:
             data.read(2)
             used += 2
+        unpack = zlib.decompressobj(-15)
         if total is not None:
+            if total < used + 8 or total > end - at:
+                raise damaged(at, "its member's length")
             body = data.read(total - used)
             if len(body) < total - used:
-                raise ValueError("record ends early")
-            unpack = zlib.decompressobj(-15)
+                raise damaged(at, "it ends early")
             got = unpack.decompress(body, 1024)
             while b"\r\n\r\n" not in got and unpack.unconsumed_tail:
                 got += unpack.decompress(unpack.unconsumed_tail, 1024)
-            lines, _, rest = got.partition(b"\r\n\r\n")
+            lines, mark, rest = got.partition(b"\r\n\r\n")
+            if not mark or header_crc != zlib.crc32(lines + mark):
+                raise damaged(at, "its headers")
             head = _head(lines)
 
-            def load(unpack=unpack, rest=rest, head=head):
-                return (rest + unpack.decompress(unpack.unconsumed_tail))[: head["length"]] if len(rest) < head["length"] else rest[: head["length"]]
+            def load(at=at, unpack=unpack, got=got, lines=lines, head=head, body=body, body_crc=body_crc):
+                if zlib.crc32(memoryview(body)[:-8]) != body_crc:
+                    raise damaged(at, "its checksum")
+                whole = got + unpack.decompress(unpack.unconsumed_tail)
+                if not unpack.eof:
+                    raise damaged(at, "it ends early")
+                _checked(at, whole, unpack.unused_data)
+                return _content(at, head, whole[len(lines) + 4 :])
 
             yield at, head, load
             at += total
         else:  # no length given: decode to find the end
-            unpack, got = zlib.decompressobj(-15), bytearray()
+            got = bytearray()
             while not unpack.eof:
                 part = data.peek(1)
                 if not part:
-                    raise ValueError("record ends early")
+                    raise damaged(at, "it ends early")
                 got += unpack.decompress(part)
                 taken = len(part) - len(unpack.unused_data)
                 data.read(taken)
                 used += taken
-            data.read(8)
-            lines, _, rest = bytes(got).partition(b"\r\n\r\n")
+            _checked(at, got, data.read(8))
+            lines, mark, rest = bytes(got).partition(b"\r\n\r\n")
+            if not mark:
+                raise damaged(at, "its headers")
             head = _head(lines)
-            yield at, head, lambda rest=rest, head=head: rest[: head["length"]]
+            yield at, head, lambda at=at, rest=rest, head=head: _content(at, head, rest)
             at += used + 8
 
 
@@ -377,10 +419,13 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     """The columns to write: of equal payloads of at least 100 bytes the smallest page_id is the response."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").alias("target_uri"), html.alias("html"), F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    # Sums to one row a digest before the join; the join's large side may be split where one payload is frequent.
-    large = rows.where(f"payload_bytes >= {SMALL} AND page_id IS NOT NULL").groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisit = F.coalesce((F.col("payload_bytes") >= SMALL) & (F.col("page_id") > F.col("first")), F.lit(False))
-    return rows.join(large, "payload_digest", "left").select(
+    may = rows.where(f"payload_bytes >= {SMALL} AND page_id IS NOT NULL")
+    # Sums to one row a digest before the join. Only pages that may be revisits move, and the join's large side may be split
+    # where one payload is frequent.
+    first = may.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    alone = rows.where(f"payload_bytes < {SMALL} OR page_id IS NULL").withColumn("first", F.lit(None).cast("long"))
+    revisit = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
+    return may.join(first, "payload_digest", "left").unionByName(alone).select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", "page_id", "payload_digest", "payload_bytes",
         F.when(revisit, F.col("first")).alias("refers_to"), F.when(~revisit, F.encode("html", "UTF-8")).alias("payload"),
     )

@@ -2,13 +2,14 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
 
-from readloom.llm import lm, quality, toxicity
+from readloom.llm import lm, quality, textops, toxicity
 from readloom.llm.common import table
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -37,6 +38,51 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.score(frame, model).columns == ["doc_id", "text", "n", "score", "predicted"]
 
 
+def test_toxicity_equals_brute_force(docs, spark):
+    """Features by counting every n-gram in Python, ratios by the formula, and scores from the model's weights."""
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["you", "Idiot", "fine\tday", "bread", "trash", "walk"]) for _ in range(rnd.randint(1, 8))) for _ in range(60)]
+    flag = [int("Idiot" in t) for t in texts]
+    frame = docs(texts)
+    labels = spark.createDataFrame(list(enumerate(flag)), "doc_id long, toxic int")
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+
+    def grams(t):
+        raw = re.sub(rb"[\x20\x09-\x0D]", b" ", b" " + t.encode().translate(LOWER) + b" " * 6)
+        return {raw[k : k + n] for n in (3, 4, 5, 6) for k in range(len(raw) - n + 1)}
+
+    def hashed(g):
+        value = np.zeros(1, np.uint64)
+        for k, c in enumerate(g):
+            value = value + np.uint64(c) * textops.GRAM[k]
+        return int((textops.mix(value + np.uint64(len(g))) >> np.uint64(64 - toxicity.BITS))[0])
+
+    n = [sum(flag[i] == k for i in train) for k in (0, 1)]
+    seen = collections.Counter((g, flag[i]) for i in train for g in {hashed(g) for g in grams(texts[i])})
+    model = toxicity.fit(frame, labels, width=10_000)
+    held = {h for h, _ in seen if seen[h, 0] + seen[h, 1] >= 3}
+    assert set(model.features.tolist()) <= held and len(model.features) > 0.5 * len(held)
+    ratio = {h: math.log((seen[h, 1] + 0.5) / (n[1] + 1)) - math.log((seen[h, 0] + 0.5) / (n[0] + 1)) for h in held}
+    got = model.ratios
+    assert all(got[k] == pytest.approx(ratio[h]) for k, h in enumerate(model.features.tolist()))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    for r in toxicity.score(frame, model).collect():
+        z = sum(weight.get(h, 0) for h in {hashed(g) for g in grams(texts[r.doc_id])}) + model.intercept
+        assert float(r.asDict()["score"]) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    # The fit is the minimum of the ridge loss on scaled features: its gradient is small.
+    x = np.array([[ratio[h] * (h in {hashed(g) for g in grams(texts[i])}) for h in model.features.tolist()] for i in train])
+    w = np.array([weight[h] / ratio[h] for h in model.features.tolist()])
+    y = np.array([flag[i] for i in train])
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))
+    assert np.abs(x.T @ (p - y) / len(y) + 1e-4 * w).max() < 2e-3
+
+
+def test_toxicity_sample_is_bounded(docs, spark):
+    frame = docs(["you idiot"] * 40 + [f"fine day {i}" for i in range(20)], [1] * 60)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.sample(frame, labels).count() == toxicity.PER_ID
+
+
 def test_quality_finds_junk_without_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = quality.op1(table(spark, sf, "documents")).join(table(spark, sf, "labels").withColumnRenamed("quality", "label"), "doc_id").collect()
@@ -62,6 +108,51 @@ def test_quality_edges(docs):
     assert quality.op1(frame.where("false")).count() == 0
 
 
+def test_quality_of_repeated_rows(docs):
+    same = docs(["Plain words make a sentence of a good length, which ends here; the next one begins after it."] * 300, [4] * 300)
+    got = quality.score(same, quality.fit(same, rows=1)).collect()
+    assert len(got) == 300 and len({r.quality for r in got}) == 1
+    mixed = docs([f"word {i % 7} goes on with others like it until a line ends " * (1 + i % 3) for i in range(200)])
+    assert quality.sample(mixed.select("text"), rows=5).count() == 5 and quality.sample(mixed.select("text"), size=100).count() == 1
+    assert sum(r.weight for r in quality.sample(mixed.select("text")).collect()) == 200
+    one = {r.doc_id: r.quality for r in quality.op1(mixed.repartition(2)).collect()}
+    two = {r.doc_id: r.quality for r in quality.op1(mixed.repartition(7)).collect()}
+    assert one == two
+
+
+def test_quality_scorer_by_brute_force(docs):
+    """Votes, posterior and score of each text from the definitions."""
+    texts = ["Plain words make a sentence of a good length, which ends here; the next one begins after it, and so on again and on.", "!!! $$$ %%% ### ((( )))", "a b", "SHOUT " * 30, "12 34 56 78 " * 9, "x x x x x x x x", ""]
+    frame = docs(texts)
+    scorer = quality.fit(frame)
+    for r in quality.score(frame, scorer).collect():
+        t, found = texts[r.doc_id], {}
+        w, low = t.split(), t.lower().split()
+        lines = [x for x in t.split("\n") if x]
+        used = max(1, sum(not c.isspace() for c in t))
+        symbol = [33 <= ord(c) < 127 and not c.isalnum() and c not in ".,;:'\"-()?" for c in t]
+        found["symbol_share"] = sum(symbol) / used
+        found["upper_share"] = sum(c.isupper() for c in t) / max(1, sum(c.isalpha() for c in t))
+        found["digit_share"] = sum(c.isdigit() for c in t) / used
+        found["echo_share"] = sum(a == b for a, b in zip(low, low[1:])) / max(1, len(w))
+        found["lone_share"] = sum(len(x) == 1 and bool(quality.SYMBOL[ord(x)]) for x in w) / max(1, len(w))
+        found["marked_share"] = sum(len(x) > 2 and bool(quality.SYMBOL[ord(x[-1])] and quality.SYMBOL[ord(x[-2])]) for x in w) / max(1, len(w))
+        found["line_copy_share"] = (len(lines) - len({x.lower() for x in lines})) / max(1, len(lines))
+        found["n_words"] = len(w)
+        found["distinct_share"] = len(set(low)) / max(1, min(max(1, len(w)), 12 * math.sqrt(max(1, len(w)))))
+        vote = []
+        for _, name, bad, good in quality.LABELLERS:
+            x = found[name]
+            if name in quality.FALLING:
+                vote.append(0 if x < bad else 1 if x >= good else 2)
+            else:
+                vote.append(0 if x >= bad else 1 if x <= good else 2)
+        odds = [math.log(p) + sum(math.log(scorer.labels.chance[c, k, v]) for k, v in enumerate(vote)) for c, p in ((0, 1 - scorer.labels.prior), (1, scorer.labels.prior))]
+        assert r.posterior == pytest.approx(1 / (1 + math.exp(odds[0] - odds[1])), abs=1e-9)
+        rows, cols, values, _ = quality._features([t.encode()])
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-(sum(scorer.weights[c] * v for c, v in zip(cols, values)) + scorer.weights[-1]))), abs=1e-9)
+
+
 def brute(texts):
     """Scores by dictionaries; the model's formulas word for word."""
     tokens = {i: [*words(t), "END"] for i, t in texts.items()}

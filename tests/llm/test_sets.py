@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import io
 import random
 import re
 import struct
@@ -11,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from readloom.llm import ann, media, neardup, warc
+from readloom.llm import ann, media, neardup, quality, textops, toxicity, warc
 from readloom.llm.common import shared_dir, table
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -97,6 +98,37 @@ def test_components(spark):
     assert all(got[x] == root(x) for x in parent if x in got) and set(parent) - set(got) <= loops
 
 
+def test_near_duplicates_with_repeated_ids(docs):
+    """Rows that share an id and not a text are different nodes; rows that repeat all are kept once by one_of_each."""
+    base = [f"w{i}" for i in range(80)]
+    near, far = [*base[:-1], "other"], " ".join(f"u{i}" for i in range(50))
+    frame = docs([" ".join(base), " ".join(near), far, far, None, "", " ".join(near)], [3, 5, 5, 9, 5, 5, None])
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in neardup.near_duplicates(frame).collect())
+    assert got == [(-1, 76, -1, None), (3, 76, 3, True), (5, 0, 5, True), (5, 0, 5, True), (5, 46, 5, True), (5, 76, 3, False), (9, 46, 5, False)]
+    kept = sorted((r.doc_id or -1, r.text or "") for r in neardup.one_of_each(frame).collect())
+    assert kept == sorted([(-1, " ".join(near)), (3, " ".join(base)), (5, ""), (5, ""), (5, far)])
+    same = docs([far] * 50, [7] * 50)
+    assert all(r.component_id == 7 and r.kept for r in neardup.near_duplicates(same).collect())
+    assert neardup.one_of_each(same).count() == 1
+
+
+def test_long_texts_come_in_spans(monkeypatch):
+    """The same results whether a text is one step or many spans; words longer than a span stand as digests."""
+    rnd = random.Random(4)
+    text = "".join(rnd.choice(["alpha", "Beta", "$$!!", "99", "the the", "é", "z" * 30]) + rnd.choice([" ", "\n", "  "]) for _ in range(4000)).encode()
+    whole = [list(textops.shingle_sets([text], 5)), quality.counted([text]), quality._features([text]), list(toxicity._present([text]))]
+    for module in (textops, quality):
+        monkeypatch.setattr(module, "STEP_BYTES", 4096)
+    for f in (textops.in_steps, textops.word_spans, textops.line_spans):
+        monkeypatch.setattr(f, "__defaults__", (4096,))
+    spans = [list(textops.shingle_sets([text], 5)), quality.counted([text]), quality._features([text]), list(toxicity._present([text]))]
+    assert len(list(textops.word_spans(text))) > 5 and b"".join(textops.word_spans(text)) == text == b"".join(textops.line_spans(text))
+    assert (whole[0][0] == spans[0][0]).all() and all((whole[1][0][k] == spans[1][0][k]).all() for k in whole[1][0])
+    assert all(np.allclose(a, b) for a, b in zip(whole[2], spans[2])) and set(whole[3][0][1]) == set(spans[3][0][1])
+    long = b"a " + b"x" * 200_000 + b" b c d e " + b"X" * 200_000 + b" f"
+    assert len(next(textops.shingle_sets([long], 5))) == 4
+
+
 def nearest(ids, v, every, k):
     out = []
     for i in np.flatnonzero(ids % every == 0):
@@ -106,20 +138,40 @@ def nearest(ids, v, every, k):
     return sorted(out)
 
 
-def test_neighbours_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 64)
+def test_neighbours(spark):
+    """With windows that hold all, exact: ties, 150 equal vectors, rows that take no part. With small ones, recall."""
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.standard_normal((400, 16)), np.repeat(rng.standard_normal((1, 16)), 150, 0), rng.standard_normal((5, 16)).repeat(40, 0) + 0.01 * rng.standard_normal((200, 16))])
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
     bad = [(2000, None, 1), (2020, [0.0] * 16, 1), (2040, [float("nan")] + [1.0] * 15, 1), (2060, [None] + [1.0] * 15, 1), (2080, [float("inf")] * 16, 1), (2100, [1.0], 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, score int").repartition(4)
-    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(df, k=7, every=20).collect())
-    assert got == nearest(np.arange(len(v)), v, 20, 7)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, k=7, every=20, curves=2).collect())
+    want = nearest(np.arange(len(v)), v, 20, 7)
+    assert got == want
+    small = {(r.query_id, r.vec_id) for r in ann.search(df, k=7, every=20, tile=32, half=16).collect()}
+    assert len(small & {(q, x) for q, _, x in want}) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize(("sf", "sizes"), [("sf0.1", {"tile": 64, "half": 32})])
+def test_recall_on_the_tables(spark, sf, sizes):
+    """2,000 vectors without structure, windows of 128 places."""
+    df = table(spark, f"/root/testdata/{sf}", "embeddings")
+    rows = df.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    want = {(q, x) for q, _, x in nearest(rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), float), 20, 20)}
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, **sizes).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
+def test_many_equal_vectors(spark):
+    """4,096 copies are one class, so nothing is compared with all of them."""
+    rows = [(i, [0.5, -0.5, 0.25, 0.0]) for i in range(4096)] + [(5000, [1.0, 0.0, 0.0, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=1024).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted((q, k + 1, x) for q in (0, 1024, 2048, 3072) for k, x in enumerate([i for i in range(21) if i != q][:20]))
 
 
 def test_neighbours_edges(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(few).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(few).collect())
     assert got == [(0, 1, 3, 1.0), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 3, 0.5)]
     assert ann.search(few.where("false")).count() == 0
 
@@ -166,6 +218,30 @@ def test_archive_filters_and_splits(spark):
     assert read.where("page_id = 3").first().target_uri == "u%0D%0A3"
 
 
+def test_every_flipped_bit_is_found():
+    data = b"hello world" * 20
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:1>"), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(data).hexdigest()), ("X-Payload-Length", str(len(data)))]
+    good = warc.member(warc.record(headers, data))
+
+    def read(archive, load=True):
+        return [payload() if load else head["page_id"] for _, head, payload in warc.records(io.BufferedReader(io.BytesIO(archive)), 0, len(archive), True)]
+
+    assert read(good + good) == [data] * 2
+    for bit in range(8 * len(good)):
+        bad = bytearray(good)
+        bad[bit // 8] ^= 1 << bit % 8
+        with pytest.raises((ValueError, zlib.error)):
+            read(bytes(bad) + good)
+    assert read(good + good, load=False) == [1, 1]
+    wrong = warc.member(warc.record([*headers[:2], ("WARC-Payload-Digest", "sha256:" + "0" * 64), headers[3]], data))
+    with pytest.raises(ValueError, match="digest"):
+        read(wrong)
+    foreign = bytearray(gzip.compress(warc.record(headers, data)))
+    foreign[-6] ^= 1
+    with pytest.raises((ValueError, zlib.error)):
+        read(bytes(foreign))
+
+
 def test_foreign_archives(tmp_path):
     one = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:1>")], b"hello")
     two = warc.record([("WARC-Type", "request"), ("warc-record-id", "<urn:x>")], b"a" * 5000)
@@ -188,9 +264,11 @@ def slow_resize(image, height, width):
 
 
 @pytest.mark.parametrize("shape", [(1, 1), (5, 7), (16, 16), (40, 24), (3, 90)])
-def test_area_resize(shape):
+def test_area_resize(shape, monkeypatch):
     image = np.random.default_rng(1).integers(0, 256, shape, dtype=np.uint8)
     assert np.allclose(media.area_resize(image, 16, 9), slow_resize(image, 16, 9))
+    monkeypatch.setattr(media, "BAND", 10)
+    assert np.allclose(media.area_resize(image, 16, 9), slow_resize(image, 16, 9))
 
 
 def test_formats():

@@ -46,11 +46,25 @@ def test_any_text(x):
 def test_counts_and_cuts():
     data = texts(500, 2) + ["x " * 5000 + "don't" * 50, "word " * 70]
     assert tokencount.count_texts(data, BYTE) == [len(LIBRARY[BYTE].encode(x, add_special_tokens=False).ids) for x in data]
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 64])
+def test_composed_maps(monkeypatch, chunk):
+    """Texts of many chunks, pieces longer than chunks, and maps whose start state is not the fresh one."""
+    monkeypatch.setattr(tokencount, "CHUNK", chunk)
+    data = ["", "'r", "a'", "it's  \t 're", "x" * 300, " " * 200, "'" * 150, *texts(150, 5)]
+    assert tokencount.count_texts(data, BYTE) == [len(LIBRARY[BYTE].encode(x, add_special_tokens=False).ids) for x in data]
+    pieces = bpe.Memo(lambda piece: 1 if piece else 0)  # one token a piece: what the maps then add up to are the pattern's pieces
     pattern = bpe.model(BYTE).pattern
-    joined, places, counts = tokencount.cuts(data)
-    pieces = [joined[a:b] for a, b in zip(places, places[1:])]
-    assert pieces == [p for x in data for p in pattern.findall(x)] and counts.tolist() == [len(pattern.findall(x)) for x in data]
-    assert tokencount.cuts([])[2].tolist() == [] and tokencount.cuts(["", ""])[2].tolist() == [0, 0]
+    assert tokencount.Chunks(data).counts(pieces).tolist() == [len(pattern.findall(x)) for x in data]
+
+
+def test_stretches(monkeypatch):
+    monkeypatch.setattr(tokencount, "STEP", 50)
+    x = "it's a text's 12 words  go on " * 30 + "x" * 500
+    parts = tokencount.stretches(x)
+    assert "".join(parts) == x and len(parts) > 5
+    assert tokencount.count_texts([x], BYTE) == [len(LIBRARY[BYTE].encode(x, add_special_tokens=False).ids)]
 
 
 def test_machine_survives_full_tables(monkeypatch):
