@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import dataclasses
 import datetime
+import io
+import itertools
 import logging
 import os
+import pathlib
+import re
 import sys
 import tempfile
+import threading
+import time
+
+import pyarrow.fs
 
 from readloom import __version__
 from readloom.functions.adapters import GROUPS
 from readloom.plans.config import TrimConfig
-from readloom.sources import discover
+from readloom.sources import discover, fastq, files
 
 DEFAULTS = {f.name: f.default for f in dataclasses.fields(TrimConfig)}
 #: Options that set a field: long name, short name or None, field, kind, help.
@@ -85,26 +94,80 @@ def config(args: argparse.Namespace) -> TrimConfig:
     return TrimConfig(**values)
 
 
+#: Variables in which job schedulers tell a job's cores.
+SCHEDULERS = ("SLURM_CPUS_PER_TASK", "PBS_NCPUS", "NCPUS", "NSLOTS", "LSB_DJOB_NUMPROC")
+
+
 def thread_count(given: int | None) -> int:
-    if given:
-        return given
-    for name in ("SLURM_CPUS_PER_TASK", "PBS_NP", "NCPUS", "NSLOTS", "LSB_DJOB_NUMPROC"):
-        if os.environ.get(name, "").isdigit():
-            return max(1, int(os.environ[name]))
-    return max(1, (os.cpu_count() or 2) - 1)
+    """The number asked for, else what a scheduler grants, else all cores but one; at least 1."""
+    told = [given, *(os.environ.get(v) for v in SCHEDULERS)]
+    numbers = [int(x) for x in told if x is not None and re.fullmatch(r"\s*[+-]?\d+\s*", str(x))]
+    return max(1, numbers[0] if numbers else (os.cpu_count() or 2) - 1)
 
 
 def new_folder(parent: str) -> str:
-    base = os.path.join(parent, "readloom_results_" + datetime.datetime.now().strftime("%Y-%m-%d_%H-%M-%S"))
-    os.makedirs(parent, exist_ok=True)
-    k, path = 1, base
-    while True:
-        try:
-            os.mkdir(path)
-            return os.path.abspath(path)
-        except FileExistsError:
-            k += 1
-            path = f"{base}_{k}"
+    """A folder for this run's results, in any store, named by the time; runs of one second are numbered from 2 on."""
+    fs, root = files.open_fs(parent)
+    stamp = datetime.datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
+    fs.create_dir(root, recursive=True)
+    for k in itertools.count(1):
+        name = f"readloom_results_{stamp}" + (f"_{k}" if k > 1 else "")
+        if fs.get_file_info(f"{root}/{name}").type != pyarrow.fs.FileType.NotFound:
+            continue
+        if isinstance(fs, pyarrow.fs.LocalFileSystem):
+            with contextlib.suppress(FileExistsError):
+                pathlib.Path(root, name).mkdir()
+                return str(pathlib.Path(root, name).resolve())
+            continue
+        fs.create_dir(f"{root}/{name}")
+        return f"{parent.rstrip('/')}/{name}"
+    raise AssertionError
+
+
+def adapter_list() -> str:
+    """The built-in groups, their sequences in one column."""
+    width = max(len(name) for entries in GROUPS.values() for name, _ in entries)
+    blocks = [f"  [{group}]\n" + "".join(f"    {name.ljust(width)}   {seq}\n" for name, seq in entries) for group, entries in GROUPS.items()]
+    return "\nBuilt-in adapters. Of a pair, read 1 is searched for 'Read 1' and read 2 for 'Read 2' sequences where a group has both.\n\n" + "\n".join(blocks)
+
+
+class Progress(threading.Thread):
+    """A line on standard error about the tasks of the running stages, with the time that is left at this pace."""
+
+    def __init__(self, spark, reads: int):
+        super().__init__(daemon=True)
+        self.tracker, self.reads, self.done, self.began = spark.sparkContext.statusTracker(), reads, threading.Event(), time.monotonic()
+
+    def line(self) -> str | None:
+        stages = [x for i in self.tracker.getActiveStageIds() if (x := self.tracker.getStageInfo(i))]
+        whole, ready = sum(x.numTasks for x in stages), sum(x.numCompletedTasks for x in stages)
+        if not whole:
+            return None
+        spent = time.monotonic() - self.began
+        left = f"{spent * (whole - ready) / ready:.0f} s left" if ready else "..."
+        return f"about {self.reads:,} reads, {ready}/{whole} tasks of {', '.join(x.name.split(' ')[0] for x in stages)}, {left}"
+
+    def run(self) -> None:
+        stage: list[int] = []
+        while not self.done.wait(1):
+            if (now := list(self.tracker.getActiveStageIds())) != stage:
+                stage, self.began = now, time.monotonic()
+            if text := self.line():
+                print(f"\r{text:<100}", end="", file=sys.stderr, flush=True)
+        print(file=sys.stderr)
+
+
+def logged(verbose: bool, cfg: TrimConfig) -> io.StringIO:
+    """The run's log, with its parameters; ``verbose`` shows it on the terminal as well."""
+    text = io.StringIO()
+    handlers: list[logging.Handler] = [logging.StreamHandler(text)] + [logging.StreamHandler(sys.stderr)] * verbose
+    logging.basicConfig(handlers=handlers, level=logging.DEBUG if verbose else logging.INFO, format="%(asctime)s [%(levelname)s] %(message)s", force=True)
+    logging.getLogger("py4j").setLevel(logging.WARNING)
+    logging.info("--- Start of run parameters ---")
+    for name, value in sorted(dataclasses.asdict(cfg).items()):
+        logging.info("[PARAMETER] %s: %s", name, ", ".join(map(str, value)) if isinstance(value, tuple | list) else value)
+    logging.info("---- End of run parameters ----")
+    return text
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -115,8 +178,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     args = p.parse_args(argv)
     if args.list_adapters:
-        for group, entries in GROUPS.items():
-            print(group, *(f"  {name}\t{seq}" for name, seq in entries), sep="\n")
+        print(adapter_list())
         return 0
     spooled = None
     try:
@@ -139,21 +201,30 @@ def main(argv: list[str] | None = None) -> int:
 
     threads = thread_count(cfg.threads)
     # Under spark-submit the master is set; else the cores of this machine.
-    builder = SparkSession.builder.appName("readloom").config("spark.ui.showConsoleProgress", str(args.progress).lower())
+    builder = SparkSession.builder.appName("readloom").config("spark.ui.showConsoleProgress", "false")
     spark = (builder if "spark.master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "") or os.environ.get("MASTER") else builder.master(f"local[{threads}]")).getOrCreate()
+    progress, log, folder = None, None, None
     try:
+        inputs = Inputs(unpaired + args.input_unpaired, pairs, interleaved + args.input_interleaved)
         folder = None if cfg.stdout else tempfile.gettempdir() if cfg.testrun else new_folder(args.output)
         if folder and not cfg.testrun:
-            logging.basicConfig(filename=f"{folder}/readloom.log", level=logging.DEBUG if args.verbose else logging.INFO, format="%(asctime)s [%(levelname)s] %(message)s", force=True)
-            for name, value in dataclasses.asdict(cfg).items():
-                logging.info("[PARAMETER] %s = %s", name, value)
-        lines = run(spark, cfg, Inputs(unpaired + args.input_unpaired, pairs, interleaved + args.input_interleaved), folder, threads=threads)
+            log = logged(args.verbose, cfg)
+        if args.progress:
+            every = [*inputs.unpaired, *inputs.interleaved, *(f for pair in inputs.paired for f in pair)]
+            progress = Progress(spark, sum(fastq.read_count_estimate(f) for f in every))
+            progress.start()
+        lines = run(spark, cfg, inputs, folder, threads=threads)
+        logging.info("finished")
         if not cfg.stdout:
             print("\n".join(lines))
         return 0
     except KeyboardInterrupt:
         return 130
     finally:
+        if progress:
+            progress.done.set()
+        if log:
+            files.write_text(f"{folder}/readloom.log", log.getvalue())
         spark.stop()
         if spooled:
             os.unlink(spooled)

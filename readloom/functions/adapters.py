@@ -49,11 +49,11 @@ def read_fasta(path: str) -> list[tuple[str, str]]:
 
 
 def load(argument: str) -> list[tuple[str, str]]:
-    """A FASTA file's records, or a list of sequences between commas, named custom_1, custom_2, ..."""
+    """A FASTA file's records, or a list of sequences between commas, named custom_1, custom_2, ...; empty items don't count."""
     if os.path.isfile(argument):
         return read_fasta(argument)
-    parts = [p.strip().upper() for p in argument.split(",")]
-    if not all(re.fullmatch("[ACGTN]+", p) for p in parts):
+    parts = [p for p in (x.strip().upper() for x in argument.split(",")) if p]
+    if not parts or not all(re.fullmatch("[ACGTN]+", p) for p in parts):
         raise ValueError(f"neither a file nor a list of sequences: {argument}")
     return [(f"custom_{i}", p) for i, p in enumerate(parts, 1)]
 

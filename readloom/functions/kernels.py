@@ -89,26 +89,30 @@ def adapter_start(seq: Flat, adapter: bytes, seed: int, mismatches: int) -> np.n
 
     At least min(seed, adapter) letters overlap, with at most floor(overlap * mismatches / adapter) different ones.
     """
-    n, size, a = len(seq.at) - 1, seq.size, len(adapter)
-    row = seq.row_of_byte()
-    place = np.arange(len(seq.data))
-    ends = seq.at[1:][row]
-    live = np.flatnonzero(ends - place >= min(seed, a))
-    overlap = np.minimum(a, ends[live] - live)
-    budget = overlap * mismatches // a
-    wrong = np.zeros(len(live), np.int64)
-    padded = np.append(seq.data, np.zeros(a, np.uint8))
-    for j, letter in enumerate(adapter):
-        wrong += (padded[live + j] != letter) & (j < overlap)
-        if j >= mismatches and (j % 4 == 3 or j == mismatches):
-            keep = wrong <= budget
-            live, overlap, budget, wrong = live[keep], overlap[keep], budget[keep], wrong[keep]
-    live = live[wrong <= budget]
+    n, a, least = len(seq.at) - 1, len(adapter), min(seed, len(adapter))
     out = np.full(n, -1, np.int64)
-    owner = row[live]
+    total = len(seq.data)
+    padded = np.append(seq.data, np.zeros(a, np.uint8))
+    # At least ``least`` letters overlap wherever a hit may begin, so these are compared in passes over all bytes.
+    head = min(least, 24)
+    wrong8 = np.zeros(total, np.uint8)
+    for j in range(head):
+        wrong8 += padded[j : j + total] != adapter[j]
+    live = np.flatnonzero(wrong8 <= min(mismatches, 255))
+    owner = np.searchsorted(seq.at, live, "right") - 1
+    overlap = np.minimum(a, seq.at[owner + 1] - live)
+    budget = overlap * mismatches // a
+    wrong = wrong8[live].astype(np.int64)
+    keep = (overlap >= least) & (wrong <= budget)
+    for j in range(head, a + 1):
+        if not keep.all():
+            live, owner, overlap, budget, wrong = (x[keep] for x in (live, owner, overlap, budget, wrong))
+        if j == a or not len(live):
+            break
+        wrong += (padded[live + j] != adapter[j]) & (j < overlap)
+        keep = wrong <= budget if j % 4 == 3 or j == a - 1 else np.ones(len(live), bool)
     first = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
     out[owner[first]] = live[first] - seq.at[owner[first]]
-    del size
     return out
 
 
@@ -124,21 +128,31 @@ def adapters(seq: Flat, wanted: list[str], seed: int, mismatches: int) -> tuple[
 
 def kmer_counts(seq: Flat, k: int) -> np.ndarray:
     """Distinct k-mers of each row (letters A, C, G, T and N)."""
-    n = len(seq.at) - 1
+    n, total = len(seq.at) - 1, len(seq.data)
     letters = np.zeros(256, np.int64)
     for code, letter in enumerate(b"CGTN", 1):
         letters[letter] = code
-    codes = letters[seq.data]
-    starts = np.maximum(seq.size - k + 1, 0)
-    row = np.repeat(np.arange(n), starts)
-    at = seq.at[row] + np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
-    value = np.zeros(len(row), np.int64)
+    whole = max(total - k + 1, 0)
+    codes, value = letters[seq.data], np.zeros(whole, np.int64)
     for j in range(k):
-        value = value * 5 + codes[at + j]
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])) if len(row) else np.zeros(0, bool)
-    return np.bincount(row[new], minlength=n)
+        value = value * 5 + codes[j : j + whole]
+    # A k-mer begins wherever its last letter is in the same row.
+    row = seq.row_of_byte()
+    begins = np.flatnonzero(row[:whole] == row[k - 1 : k - 1 + whole]) if whole else np.zeros(0, np.int64)
+    row, value = row[begins], value[begins]
+    if n * 5**k <= CELLS:
+        seen = np.zeros((n, 5**k), bool)
+        seen[row, value] = True
+        return seen.sum(axis=1)
+    out = np.zeros(n, np.int64)
+    # Rows in parts whose (row, value) fit one number.
+    per = max(1, (1 << 62) // 5**k)
+    for a in range(0, n, per):
+        part = slice(*np.searchsorted(row, (a, a + per)))
+        keys = np.sort((row[part] - a) * 5**k + value[part])
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        out += np.bincount(keys[new] // 5**k + a, minlength=n)
+    return out
 
 
 _COMPLEMENT = np.zeros(256, np.uint8)

@@ -13,6 +13,14 @@ from readloom.operators.reads import searched
 from readloom.plans.config import TrimConfig
 
 KEYS = ("input_id", "mate")
+#: The grid's columns in their order, and those of each module.
+BASE = (
+    "input", "type", "mate", "input_files", "output_files", "reads_pre", "invalid_reads", "rejected_after_trimming", "reads_lost", "reads_post",
+    "reads_kept_percent", "kept_in_pairs", "kept_as_singletons", "bases_pre", "bases_post", "bases_kept_percent", "mean_length_pre", "mean_length_post",
+    "median_length_pre", "median_length_post", "mean_base_qual_pre", "mean_base_qual_post", "mean_read_qual_pre", "mean_read_qual_post",
+    "median_read_qual_pre", "median_read_qual_post",
+)
+MODULE_COLUMNS = ("reads_trimmed", "reads_trimmed_percent", "bases_trimmed", "bases_trimmed_percent", "decisive_reads")
 
 
 def _n() -> Column:
@@ -125,7 +133,8 @@ def summary_grid(df: DataFrame, cfg: TrimConfig, modules: list[str]) -> DataFram
         every = list(dict.fromkeys(a for m in (0, 1, 2) for a in searched(cfg, m)))
         hits = adapter_hits(df, cfg).withColumn("name", F.concat(F.lit("adapter_"), "adapter", F.lit("_reads")))
         out = out.join(hits.groupBy(*KEYS).pivot("name", [f"adapter_{a}_reads" for a in every]).agg(F.first("reads")), [*KEYS], "left")
-    return out.drop("valid_reads")
+    known = [c for c in BASE if c in out.columns and c not in KEYS] + [f"{m}_{x}" for m in modules for x in MODULE_COLUMNS]
+    return out.select(*KEYS, *known, *(c for c in out.columns if c not in (*known, *KEYS, "valid_reads")))
 
 
 def rendered(rows: list[dict]) -> tuple[list[str], list[list[str]]]:

@@ -6,15 +6,14 @@ import dataclasses
 import os
 import sys
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.sequences import fastq_record
 from readloom.operators import pairs, stats
-from readloom.operators.reads import single
+from readloom.operators.reads import searched, single
 from readloom.plans.config import TrimConfig
-from readloom.sources import discover, fastq
+from readloom.sources import discover, fastq, files
 
 
 @dataclasses.dataclass
@@ -108,70 +107,76 @@ def _stem(items: list[Item]) -> Column:
 
 
 def routed(items: list[Item], cfg: TrimConfig, reads: DataFrame | None, couples: DataFrame | None) -> DataFrame:
-    """file, ordinal, record for every record that is written."""
+    """file, ordinal, record for every record that is written; each row of the inputs is looked at once."""
     end, parts = ".fastq.gz" if cfg.gzip else ".fastq", []
 
     def text(p: str = "") -> Column:
         return fastq_record(F.col(p + "header"), F.col(p + "out_seq"), F.col(p + "plus"), F.col(p + "out_qual"))
 
-    def add(df: DataFrame, test: Column, name: str, record: Column) -> None:
-        parts.append(df.where(test).select(F.concat(_stem(items), F.lit(name + end)).alias("file"), "ordinal", record.alias("record")))
+    def out(test: Column, name: str, record: Column) -> Column:
+        return F.when(test, F.struct(F.lit(name + end).alias("name"), record.alias("record")))
+
+    def add(df: DataFrame, places: list[Column]) -> None:
+        found = df.select(_stem(items).alias("stem"), "ordinal", F.explode(F.array_compact(F.array(*places))).alias("x"))
+        parts.append(found.select(F.concat("stem", "x.name").alias("file"), "ordinal", "x.record"))
 
     if reads is not None:
-        add(reads, F.col("keep"), "_filtered", text())
-        if cfg.write_rejected:
-            add(reads, ~F.col("keep"), "_rejected", text())
+        add(reads, [out(F.col("keep"), "_filtered", text()), *([out(~F.col("keep"), "_rejected", text())] if cfg.write_rejected else [])])
     if couples is not None:
         both = F.col("route") == "paired"
-        if cfg.interleaved_out:
-            add(couples, both, "_interleaved_filtered", F.concat_ws("\n", text("a_"), text("b_")))
+        places = [out(both, "_interleaved_filtered", F.concat_ws("\n", text("a_"), text("b_")))] if cfg.interleaved_out else []
         for mate, p in ((1, "a_"), (2, "b_")):
             if not cfg.interleaved_out:
-                add(couples, both, f"_R{mate}_paired_filtered", text(p))
+                places.append(out(both, f"_R{mate}_paired_filtered", text(p)))
             if not cfg.discard_singles:
-                add(couples, F.col("route") == f"single_r{mate}", f"_R{mate}_unpaired_filtered", text(p))
+                places.append(out(F.col("route") == f"single_r{mate}", f"_R{mate}_unpaired_filtered", text(p)))
             if cfg.write_rejected:
-                add(couples, ~F.col(p + "keep"), "_rejected" if cfg.interleaved_out else f"_R{mate}_rejected", text(p))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def summary_lines(items: list[Item], cfg: TrimConfig, alone: dict[int, tuple[int, int]], double: dict[int, dict]) -> list[str]:
-    """The plain summary: a block of tab-separated rows for pairs and one for unpaired inputs."""
-    names, lines = outputs(items, cfg), []
-    if any(i.kind != "unpaired" for i in items):
-        lines += ["[Paired Reads]", "\t".join(("Input File(s)", "Output File(s)", "Kept_Pairs", "Kept_R1_Singletons", "Kept_R2_Singletons", "Rejected_R1", "Rejected_R2"))]
-        for i in items:
-            if i.kind != "unpaired":
-                c = double.get(i.number, {})
-                counts = [c.get(k, 0) for k in ("kept_pairs", "kept_r1_singletons", "kept_r2_singletons", "rejected_r1", "rejected_r2")]
-                lines.append("\t".join([i.label, ", ".join(names[i.number]), *map(str, counts)]))
-        lines.append("")
-    if any(i.kind == "unpaired" for i in items):
-        lines += ["[Unpaired Reads]", "\t".join(("Input File", "Output File", "Kept", "Rejected"))]
-        lines += ["\t".join([i.label, ", ".join(names[i.number][:1]), *map(str, alone.get(i.number, (0, 0)))]) for i in items if i.kind == "unpaired"]
-    return lines
-
-
-def grid_lines(items: list[Item], cfg: TrimConfig, reads: DataFrame | None, couples: DataFrame | None) -> list[str]:
-    """The statistics as one tab-separated table."""
+                places.append(out(~F.col(p + "keep"), "_rejected" if cfg.interleaved_out else f"_R{mate}_rejected", text(p)))
+        add(couples, places)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def summary_text(items: list[Item], cfg: TrimConfig, alone: dict[int, tuple[int, int]], double: dict[int, dict]) -> str:
+    """The plain summary: a block of tab-separated rows for pairs and one for unpaired inputs. Rows end with CR LF, titles with LF."""
+    names, text = outputs(items, cfg), ""
+
+    def rows(found: list[tuple]) -> str:
+        return "".join("\t".join(map(str, r)) + "\r\n" for r in found)
+
+    if couples := [i for i in items if i.kind != "unpaired"]:
+        table = [("Input File(s)", "Output File(s)", "Kept_Pairs", "Kept_R1_Singletons", "Kept_R2_Singletons", "Rejected_R1", "Rejected_R2")]
+        for i in couples:
+            c = double.get(i.number, {})
+            table.append((i.label, ", ".join(names[i.number]), *(c.get(k, 0) for k in ("kept_pairs", "kept_r1_singletons", "kept_r2_singletons", "rejected_r1", "rejected_r2"))))
+        text += "[Paired Reads]\n" + rows(table) + "\n"
+    if single_files := [i for i in items if i.kind == "unpaired"]:
+        table = [("Input File", "Output File", "Kept", "Rejected")]
+        table += [(i.label, names[i.number][0], *alone.get(i.number, (0, 0))) for i in single_files]
+        text += "[Unpaired Reads]\n" + rows(table)
+    return text
+
+
+def grid_text(items: list[Item], cfg: TrimConfig, reads: DataFrame | None, couples: DataFrame | None) -> str:
+    """The statistics as one tab-separated table: fixed columns, then each module's, then each adapter's."""
     names, rows = outputs(items, cfg), []
-    by_number = {i.number: i for i in items}
-    for df, modules in ((reads, cfg.modules(0)), (None if couples is None else pairs.as_reads(couples, cfg, True), cfg.modules(1))):
+    modules, adapters = [], []
+    found: dict[tuple[int, int], dict] = {}
+    for df, used, mates in ((reads, cfg.modules(0), (0,)), (None if couples is None else pairs.as_reads(couples, cfg, True), cfg.modules(1), (1, 2))):
         if df is None:
             continue
-        for r in sorted((x.asDict() for x in stats.summary_grid(df, cfg, modules).collect()), key=lambda x: (x["input_id"], x["mate"])):
-            item = by_number[r.pop("input_id")]
-            mate = r.pop("mate")
-            start = {"input": item.stem, "type": item.kind, "mate": f"R{mate}" if mate else "all", "input_files": item.label, "output_files": ", ".join(names[item.number])}
-            if item.kind == "unpaired":
-                r["kept_in_pairs"] = r["kept_as_singletons"] = None
-            rows.append(start | r)
-    columns = list(dict.fromkeys(c for r in rows for c in r))
-    head, cells = stats.rendered([{c: r.get(c) for c in columns} for r in rows])
-    return ["\t".join(head), *("\t".join(c) for c in cells)]
+        modules += [m for m in used if m not in modules]
+        adapters += [a for m in mates for a in searched(cfg, m) if a not in adapters]
+        found |= {(r["input_id"], r["mate"]): r.asDict() for r in stats.summary_grid(df, cfg, used).collect()}
+    columns = [*stats.BASE, *(f"{m}_{x}" for m in modules for x in stats.MODULE_COLUMNS), *(f"adapter_{a}_reads" for a in adapters)]
+    for item in items:
+        for mate in item.offsets:
+            start = {"input": item.stem, "type": item.kind, "mate": f"R{mate}" if mate else "all", "input_files": item.label, "output_files": ", ".join(names[item.number] if mate else names[item.number][:1])}
+            own = found.get((item.number, mate), dict.fromkeys(("reads_pre", "reads_lost", "reads_post", "invalid_reads", "rejected_after_trimming", "bases_pre", "bases_post", "kept_in_pairs", "kept_as_singletons"), 0))
+            if not mate:
+                own["kept_in_pairs"] = own["kept_as_singletons"] = None
+            rows.append({c: (own | start).get(c) for c in columns})
+    head, cells = stats.rendered(rows)
+    return "".join("\t".join(r) + "\n" for r in [head, *cells])
 
 
 def run(spark: SparkSession, cfg: TrimConfig, inputs: Inputs, folder: str | None, range_bytes: int = fastq.RANGE, threads: int = 1) -> list[str]:
@@ -181,10 +186,19 @@ def run(spark: SparkSession, cfg: TrimConfig, inputs: Inputs, folder: str | None
     if not items:
         raise ValueError("no input")
     unpaired, couples = (_limited(x, cfg, threads) for x in load(spark, items, range_bytes))
-    # Read by the writer and the statistics: kept, so files are parsed and modules evaluated once.
-    reads = single(unpaired, cfg, 0, cfg.stats).persist(StorageLevel.DISK_ONLY) if unpaired is not None else None
-    done = pairs.processed(couples, cfg, cfg.stats).persist(StorageLevel.DISK_ONLY) if couples is not None else None
+    # Read by the writer and the statistics: written once, so files are parsed and modules evaluated once, whatever executor goes.
+    kept: list[str] = []
+
+    def once(df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        df, path = files.stored(df)
+        kept.append(path)
+        return df
+
     try:
+        reads = once(None if unpaired is None else single(unpaired, cfg, 0, cfg.stats))
+        done = once(None if couples is None else pairs.processed(couples, cfg, cfg.stats))
         if folder is None:
             for row in routed(items, cfg, reads, done).orderBy("file", "ordinal").toLocalIterator():
                 sys.stdout.write(row["record"] + "\n")
@@ -192,14 +206,15 @@ def run(spark: SparkSession, cfg: TrimConfig, inputs: Inputs, folder: str | None
             written = fastq.write_files(routed(items, cfg, reads, done), folder, cfg.gzip_level if cfg.gzip else None, cfg.ordered_output)
             for name in (n for names in outputs(items, cfg).values() for n in names if n not in written):
                 fastq.write_empty(f"{folder}/{name}", cfg.gzip)
-        alone = {r["input_id"]: (r["kept"], r["rejected"]) for r in reads.groupBy("input_id").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("rejected")).collect()} if reads is not None else {}
-        double = {r["input_id"]: r.asDict() for r in stats.kept_counts(done).collect()} if done is not None else {}
-        lines = grid_lines(items, cfg, reads, done) if cfg.stats else summary_lines(items, cfg, alone, double)
+        if cfg.stats:
+            text = grid_text(items, cfg, reads, done)
+        else:
+            alone = {r["input_id"]: (r["kept"], r["rejected"]) for r in reads.groupBy("input_id").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("rejected")).collect()} if reads is not None else {}
+            double = {r["input_id"]: r.asDict() for r in stats.kept_counts(done).collect()} if done is not None else {}
+            text = summary_text(items, cfg, alone, double)
     finally:
-        for df in (reads, done):
-            if df is not None:
-                df.unpersist()
+        for path in kept:
+            files.remove(spark, path)
     if folder is not None and not cfg.testrun:
-        with open(f"{folder}/results_summary.txt", "w", encoding="utf-8", newline="\n") as f:
-            f.write("\n".join(lines) + "\n")
-    return lines
+        files.write_text(f"{folder}/results_summary.txt", text)
+    return text.splitlines()

@@ -1,18 +1,24 @@
-"""One query an operator over the derived reads, and the same in DuckDB's SQL, formulated independently (windows, hamming)."""
+"""One query an operator over the derived reads, and the same in DuckDB's SQL, formulated independently (windows, hamming).
+
+Scans, sinks, detection and whole runs work on FASTQ files, which are written from the derived reads once a session: sample 0
+is an unpaired file, sample 1 an interleaved one, 2 (packed, under a plain name) and 3 (Phred+64) are pairs of files.
+"""
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import sequences
 from readloom.functions.adapters import GROUPS
 from readloom.operators import filters, pairs, stats
 from readloom.operators.reads import searched, single
-from readloom.plans import derived
+from readloom.plans import derived, run
 from readloom.plans.config import TrimConfig
+from readloom.sources import discover, fastq, files
 
 ID = ("input_id", "ordinal", "mate")
 #: Options of the queries that combine modules.
@@ -32,10 +38,7 @@ def query(sql: str | None):
 
 # --- SQL fragments -------------------------------------------------------------------------------------------------
 
-_base = (
-    derived._SQL.replace("{docs}", "documents").replace("'[^A-Za-z]','')", "'[^A-Za-z]','','g')").replace("explode(sequence(0,9))", "unnest(range(0,10))")
-    .replace("as string", "as varchar").replace("r'#0123", "'#0123").replace("r'BOPQ", "'BOPQ")
-)
+_base = derived.duck_sql()
 READS = f"""reads as ({_base}),
  v as (select sample_id input_id, ordinal, mate, header, mgi_header, seq, plus, qual, length(seq)::int n, case when sample_id=3 then 64 else 33 end o,
   coalesce(length(header)>1 and starts_with(header,'@') and starts_with(plus,'+') and length(seq)=length(qual)
@@ -55,7 +58,9 @@ def adapter_cte(name: str, wanted: dict[int, list[str]], seed: int, mm: int) ->
  {name} as (select v.input_id, v.ordinal, v.mate, coalesce(min(z), any_value(n))::int r, coalesce(arg_min(k, z*1000+k), -1)::int hit from v left join {name}_f using (input_id, ordinal, mate) where valid group by all)"""
 
 
-MATES = {m: searched(FULL, m) for m in (1, 2)}
+#: What the SQL expects to be searched for: TruSeq's read 1 in mate 1, its read 2 in mate 2.
+TRUSEQ = ["AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"]
+MATES = {1: TRUSEQ[:1], 2: TRUSEQ[1:]}
 OVERLAP = """pr as (select a.input_id, a.ordinal, a.n n1, b.n n2, replace(a.seq,'N','x') s1, replace(translate(reverse(b.seq),'ACGTN','TGCAN'),'N','y') s2
    from v a join v b on a.input_id=b.input_id and a.ordinal=b.ordinal and a.mate=1 and b.mate=2 where a.valid and b.valid),
  po as (select *, unnest(range(50, least(n1,n2,greatest(n1,n2)-1)+1)) i from pr),
@@ -81,6 +86,40 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.reads(spark, sf_dir)
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
+def _fastq(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """name: path of the FASTQ files, written with the library's sink; a session writes those of a table once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _folders:
+        folder, r = files.shared_folder(spark), _reads(spark, sf_dir)
+        rows = r.where("input_id > 0 OR mate = 1").select(
+            _name().alias("file"), F.when(F.col("input_id") == 1, 2 * F.col("ordinal") + F.col("mate")).otherwise(F.col("ordinal")).alias("ordinal"), "input_id",
+            sequences.fastq_record(F.col("header"), F.col("seq"), F.col("plus"), F.col("qual")).alias("record"),
+        )
+        fastq.write_files(rows.where("input_id <> 2"), folder, None, True)
+        fastq.write_files(rows.where("input_id = 2"), folder, 1, True)
+        _folders[key] = folder
+    return {n: f"{_folders[key]}/{n}.fastq" for n in ("s0", "s1", "s2_R1", "s2_R2", "s3_R1", "s3_R2")}
+
+
+def _name():
+    stem = F.concat(F.lit("s"), F.col("input_id").cast("string"))
+    return F.concat(F.when(F.col("input_id") < 2, stem).otherwise(F.concat(stem, F.lit("_R"), F.col("mate").cast("string"))), F.lit(".fastq"))
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> run.Inputs:
+    """The files as the headers tell what they are."""
+    couples, mixed, alone, _ = discover.detect(list(_fastq(spark, sf_dir).values()))
+    return run.Inputs(alone, couples, mixed)
+
+
+#: Records of the files, with their places.
+FILES = """fl as (select *, 's'||input_id||case when input_id<2 then '' else '_R'||mate end||'.fastq' file from v where input_id>0 or mate=1),
+ fr as (select *, row_number() over (partition by file order by ordinal, mate)-1 pos from fl)"""
+
+
 def _single(spark: SparkSession, sf_dir: str, sums: bool = False, **options) -> DataFrame:
     """Valid reads through one configuration; adapters as for their mates' unpaired search."""
     return single(_reads(spark, sf_dir), TrimConfig(**options).validate(), 0, sums).where("valid")
@@ -204,7 +243,6 @@ def poly_both_ends(spark, sf_dir):
     return _window(_single(spark, sf_dir, poly=True, poly_bases_start="a,C", poly_length_start=2, poly_bases_end="G,T", poly_length_end=3), "poly")
 
 
-_truseq = [seq for _, seq in GROUPS["TruSeq"]]
 _hit = "select input_id, ordinal, mate, r, hit from ad"
 
 
@@ -212,17 +250,17 @@ def _adapter(df: DataFrame) -> DataFrame:
     return df.select(*ID, F.col("w_adapter.r").alias("r"), "hit")
 
 
-@query(_with(READS, adapter_cte("ad", {1: _truseq, 2: _truseq}, 6, 0), select=_hit))
+@query(_with(READS, adapter_cte("ad", {1: TRUSEQ, 2: TRUSEQ}, 6, 0), select=_hit))
 def adapter_exact(spark, sf_dir):
     return _adapter(_single(spark, sf_dir, adapter=True, adapter_mismatch=0))
 
 
-@query(_with(READS, adapter_cte("ad", {1: _truseq, 2: _truseq}, 10, 3), select=_hit))
+@query(_with(READS, adapter_cte("ad", {1: TRUSEQ, 2: TRUSEQ}, 10, 3), select=_hit))
 def adapter_mismatch(spark, sf_dir):
     return _adapter(_single(spark, sf_dir, adapter=True, adapter_mismatch=3, adapter_seed=10))
 
 
-_many = list(dict.fromkeys([s for _, s in GROUPS["Nextera"]] + _truseq + ["GATCGG", "ACGTNACG"]))
+_many = ["CTGTCTCTTATACACATCT", *TRUSEQ, "GATCGG", "ACGTNACG"]
 
 
 @query(_with(READS, adapter_cte("ad", {1: _many, 2: _many}, 8, 1), select=_hit))
@@ -280,24 +318,28 @@ def header_parse(spark, sf_dir):
     return both.select(*ID, sequences.header_base(F.col("h")).alias("base"), sequences.header_mate(F.col("h")).alias("read_no"))
 
 
-@query(_with(READS, """b as (select input_id, ascii(substr(qual,i::int+1,1)) b from (select *, unnest(range(0,length(qual))) i from (select *, row_number() over (partition by input_id order by ordinal, mate) k from v) where k<=500))""",
-             select="select input_id, case when min(b)<64 then 33 when max(b)<=104 then 64 end::int phred_offset from b group by all"))
+@query(_with(READS, FILES, select="select file, pos ordinal, header, seq, plus, qual from fr"))
+def file_scan(spark, sf_dir):
+    """Plain files in ranges of 64 KB, packed ones told by content; places from line counts."""
+    paths = _fastq(spark, sf_dir)
+    names = F.create_map(*(x for k, n in enumerate(paths) for x in (F.lit(k).cast("long"), F.lit(f"{n}.fastq"))))
+    rows = fastq.read_fastq(spark, [(k, 0, path) for k, path in enumerate(paths.values())], 1 << 16)
+    return rows.select(names[F.col("input_id")].alias("file"), "ordinal", "header", "seq", "plus", "qual")
+
+
+@query(_with(READS, FILES, "b as (select file, ascii(substr(qual,i::int+1,1)) b from (select *, unnest(range(0,length(qual))) i from fr where pos<500))", select="select file, case when min(b)<64 then 33 when max(b)<=104 then 64 end::int phred_offset from b group by all"))
 def phred_detect(spark, sf_dir):
-    first = _reads(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("input_id").orderBy("ordinal", "mate"))).where("k <= 500")
-    letters = first.select("input_id", F.array_min(F.split("qual", "")).alias("low"), F.array_max(F.split("qual", "")).alias("high"))
-    spread = letters.groupBy("input_id").agg(F.ascii(F.min("low")).alias("low"), F.ascii(F.max("high")).alias("high"))
-    return spread.select("input_id", F.when(F.col("low") < 64, 33).when(F.col("high") <= 104, 64).alias("phred_offset"))
+    return spark.createDataFrame([(f"{n}.fastq", fastq.phred_offset(path, 500)) for n, path in _fastq(spark, sf_dir).items()], "file string, phred_offset int")
 
 
-@query(_with(READS, """f as (select input_id*2+mate file, min(ordinal) o from v group by input_id, mate), g as (select input_id*2+mate file, string_split(header,' ')[1] base, string_split(header,' ')[2][1:1]::int no from v join f on f.file=input_id*2+mate and v.ordinal=f.o where starts_with(header,'@')),
- t as (select base, count(*) c, list(no order by no) nos, list(file order by no) files from g group by all)""",
-             select="select base, c files, case when c=2 and nos=[1,2] then 'paired' else 'unpaired' end kind from t"))
+@query(_with(READS, FILES, """h as (select file, pos, string_split(header,' ')[1] base, string_split(header,' ')[2][1:1] no from fr where pos<2),
+ f as (select file, any_value(base) filter (pos=0) base, any_value(no) filter (pos=0) no, count(*)=2 and count(distinct base)=1 mixed from h group by file),
+ g as (select base, count(*)=2 and list_sort(list(no))=['1','2'] pair from f group by base)""",
+             select="select file, case when pair then 'paired' when mixed then 'interleaved' else 'unpaired' end kind from f join g using (base)"))
 def file_pairing(spark, sf_dir):
-    r = _reads(spark, sf_dir)
-    first = r.groupBy("input_id", "mate").agg(F.min(F.struct("ordinal", "header")).alias("x")).select("x.header").where(F.startswith("header", F.lit("@")))
-    named = first.select(sequences.header_base(F.col("header")).alias("base"), sequences.header_mate(F.col("header")).alias("no"))
-    grouped = named.groupBy("base").agg(F.count("*").alias("files"), F.sort_array(F.collect_list("no")).alias("nos"))
-    return grouped.select("base", "files", F.when((F.col("files") == 2) & (F.col("nos") == F.array(F.lit(1), F.lit(2))), "paired").otherwise("unpaired").alias("kind"))
+    found = _inputs(spark, sf_dir)
+    kinds = {"paired": [f for pair in found.paired for f in pair], "interleaved": found.interleaved, "unpaired": found.unpaired}
+    return spark.createDataFrame([(f.rsplit("/", 1)[-1], kind) for kind, paths in kinds.items() for f in paths], "file string, kind string")
 
 
 # --- Pairs and routes ----------------------------------------------------------------------------------------------
@@ -318,13 +360,10 @@ def pair_route_counts(spark, sf_dir):
     return stats.kept_counts(_pairs(spark, sf_dir))
 
 
-_inter = "q as (select input_id, mate, header, seq, row_number() over (partition by input_id order by ordinal, mate)-1 pos from v)"
-
-
-@query(_with(READS, _inter, select="select input_id, (pos//2)::bigint ordinal, (pos%2+1)::int mate, header, seq from q"))
+@query(_with(READS, FILES, select="select (pos//2)::bigint ordinal, (pos%2+1)::int mate, header, seq from fr where file='s1.fastq'"))
 def interleave_split(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("input_id").orderBy("ordinal", "mate")) - 1
-    return pairs.interleaved(_reads(spark, sf_dir).withColumn("ordinal", place.cast("long"))).select(*ID, "header", "seq")
+    whole = fastq.read_fastq(spark, [(0, 0, _fastq(spark, sf_dir)["s1"])], 1 << 16)
+    return pairs.interleaved(whole).select("ordinal", "mate", "header", "seq")
 
 
 _text = "header || chr(10) || substr(seq,l::int+1,(r-l)::int) || chr(10) || plus || chr(10) || substr(qual,l::int+1,(r-l)::int)"
@@ -397,49 +436,121 @@ def adapter_hits(spark, sf_dir):
     return stats.adapter_hits(_mates(spark, sf_dir), FULL)
 
 
-_grid = f""" , mc as ({_counted}), t as (select input_id, mate, count(*) reads_pre, count(*) filter (not valid) invalid_reads, count(*) filter (valid and not keep) rejected_after_trimming, count(*) filter (not keep) reads_lost,
+_grid = f""", {_bins}, mc as ({_counted}), ah as ({_hits}),
+ t as (select input_id, mate, count(*) reads_pre, count(*) filter (not valid) invalid_reads, count(*) filter (valid and not keep) rejected_after_trimming, count(*) filter (not keep) reads_lost,
   count(*) filter (keep) reads_post, count(*) filter (route='paired') kept_in_pairs, count(*) filter (route like 'single%') kept_as_singletons, sum(n) filter (valid)::bigint bases_pre, sum(r-l) filter (keep)::bigint bases_post,
   100.0::double*count(*) filter (keep)/count(*) reads_kept_percent, 100.0::double*(sum(r-l) filter (keep))/(sum(n) filter (valid)) bases_kept_percent,
-  (sum(n) filter (valid))::double/count(*) filter (valid) mean_length_pre, (sum(r-l) filter (keep))::double/count(*) filter (keep) mean_length_post from z group by all)"""
-_pivoted = ", ".join(f"max({c}) filter (module='{m}') {m}_{t}" for m in FULL.modules(1) for c, t in (("reads", "reads_trimmed"), ("bases", "bases_trimmed"), ("decisive_reads", "decisive_reads")))
+  (sum(n) filter (valid))::double/count(*) filter (valid) mean_length_pre, (sum(r-l) filter (keep))::double/count(*) filter (keep) mean_length_post,
+  (sum(qi) filter (valid))::double/(sum(n) filter (valid)) mean_base_qual_pre, (sum(qo) filter (keep))::double/(sum(r-l) filter (keep)) mean_base_qual_post,
+  round(sum(qi::double/greatest(n,1)) filter (valid)/count(*) filter (valid), 6) mean_read_qual_pre, round(sum(qo::double/(r-l)) filter (keep)/count(*) filter (keep), 6) mean_read_qual_post from z group by all),
+ md as (select input_id, mate, kind, list_sort(list(bin))[count(*)//2+1] median from hb group by all),
+ mp as (select input_id, mate, max(median) filter (kind='len_in') median_length_pre, max(median) filter (kind='len_out') median_length_post,
+  (max(median) filter (kind='rq_in'))/10.0::double median_read_qual_pre, (max(median) filter (kind='rq_out'))/10.0::double median_read_qual_post from md group by all),
+ ap as (select input_id, mate, {", ".join(f"max(reads) filter (adapter='{a}') adapter_{a}_reads" for a in TRUSEQ)} from ah group by all)"""
+_per_module = ", ".join(
+    f"max(reads) filter (module='{m}') {m}_reads_trimmed, 100.0::double*max(reads) filter (module='{m}')/any_value(reads_pre-invalid_reads) {m}_reads_trimmed_percent, max(bases) filter (module='{m}') {m}_bases_trimmed, "
+    f"100.0::double*max(bases) filter (module='{m}')/any_value(bases_pre) {m}_bases_trimmed_percent, max(decisive_reads) filter (module='{m}') {m}_decisive_reads"
+    for m in ("poly", "adapter", "endqual", "cut", "overlap")
+)
+
+
+@query(_with(RUN, _mods, select="X").replace(" X", _grid + f", mv as (select input_id, mate, {_per_module} from t join mc using (input_id, mate) group by all) select * from t join mp using (input_id, mate) join mv using (input_id, mate) join ap using (input_id, mate)"))
+def summary_grid(spark, sf_dir):
+    """Every column of the grid. Means of means are sums of doubles, so they are rounded."""
+    mates, _ = files.stored(_mates(spark, sf_dir).drop("header", "plus", "qual", "out_seq", "out_qual"))  # read by every part of the grid
+    grid = stats.summary_grid(mates, FULL, FULL.modules(1))
+    return grid.withColumns({c: F.round(c, 6) for c in ("mean_read_qual_pre", "mean_read_qual_post")})
 
 
-@query(_with(RUN, _mods, select="X").replace(" X", _grid + f" select t.*, {_pivoted} from t join mc using (input_id, mate) group by all"))
-def summary_grid(spark, sf_dir):
-    grid = stats.summary_grid(_mates(spark, sf_dir).persist(), FULL, FULL.modules(1))
-    modules = [f"{m}_{x}" for m in FULL.modules(1) for x in ("reads_trimmed", "bases_trimmed", "decisive_reads")]
-    return grid.select(
-        "input_id", "mate", "reads_pre", "invalid_reads", "rejected_after_trimming", "reads_lost", "reads_post", "kept_in_pairs", "kept_as_singletons",
-        "bases_pre", "bases_post", "reads_kept_percent", "bases_kept_percent", "mean_length_pre", "mean_length_post", *modules,
-    )
+# --- Whole runs over files: order, limits, unions, routes ----------------------------------------------------------
 
 
-# --- Order, limits, unions -----------------------------------------------------------------------------------------
+_loaded = """u as (select 's0' stem, 'unpaired' kind, pos ordinal, 0 mate, header, seq, 33 o from fr where file='s0.fastq' union all
+ select 's1', 'interleaved', (pos//2)::bigint, (pos%2+1)::int, header, seq, 33 from fr where file='s1.fastq' union all
+ select 's'||input_id, 'paired', pos, mate, header, seq, o from fr where input_id>=2)"""
 
 
-@query(_with(READS, select="select input_id, ordinal, mate, header, seq from v where ordinal < 1500 order by input_id, ordinal, mate"))
-def ordered_first_n(spark, sf_dir):
-    """Ordered output of a test run: each input's records below a place, not an arbitrary limit."""
-    return _reads(spark, sf_dir).where("ordinal < 1500").select(*ID, "header", "seq").orderBy(*ID)
+def _loaded_rows(spark: SparkSession, sf_dir: str, cfg: TrimConfig, threads: int = 1) -> DataFrame:
+    """stem, kind, ordinal, mate, header, seq, offset of what a run reads."""
+    items = run.plan_items(_inputs(spark, sf_dir), cfg)
+    unpaired, couples = (run._limited(x, cfg, threads) for x in run.load(spark, items, 1 << 16))
+    known = spark.createDataFrame([(i.number, i.stem, i.kind) for i in items], "input_id long, stem string, kind string")
+    mates = couples.select("input_id", "ordinal", F.explode(F.array(*(F.struct(F.lit(m).alias("mate"), *(F.col(p + c).alias(c) for c in ("header", "seq", "offset"))) for m, p in ((1, "a_"), (2, "b_"))))).alias("x"))
+    rows = unpaired.select("input_id", "ordinal", "mate", "header", "seq", "offset").unionByName(mates.select("input_id", "ordinal", "x.*"))
+    return rows.join(F.broadcast(known), "input_id").select("stem", "kind", "ordinal", "mate", "header", "seq", F.col("offset").alias("o"))
 
 
-@query(_with(READS, select="select 'unpaired' kind, input_id, ordinal, mate, seq from v where mate=1 and input_id=0 union all select 'interleaved', input_id, ordinal, mate, seq from v where input_id=1 union all select 'paired', input_id, ordinal, mate, seq from v where input_id>=2"))
+@query(_with(READS, FILES, _loaded, select="select * from u"))
 def input_union(spark, sf_dir):
-    r = _reads(spark, sf_dir).select(*ID, "seq")
-    parts = {"unpaired": "mate = 1 AND input_id = 0", "interleaved": "input_id = 1", "paired": "input_id >= 2"}
-    out = None
-    for kind, test in parts.items():
-        part = r.where(test).select(F.lit(kind).alias("kind"), *ID, "seq")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _loaded_rows(spark, sf_dir, TrimConfig())
 
 
-@query("select g group_name, n name, s seq, k::int priority from (values " + ", ".join(f"('{g}','{n}','{s}',{k})" for k, (g, n, s) in enumerate((g, n, s) for g, e in GROUPS.items() for n, s in e)) + ") t(g,n,s,k)")
+@query(_with(READS, FILES, _loaded, select="select stem, ordinal, mate, header from u where ordinal<60 order by stem, ordinal, mate"))
+def ordered_first_n(spark, sf_dir):
+    """A test run's records, the first chunk of each of four threads, in order."""
+    return _loaded_rows(spark, sf_dir, TrimConfig(testrun=True, chunk_size=15), 4).select("stem", "ordinal", "mate", "header").orderBy("stem", "ordinal", "mate")
+
+
+def _written(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """file, ordinal, record lines of what a run over the paired and interleaved files writes."""
+    folder, found = files.shared_folder(spark), _inputs(spark, sf_dir)
+    cfg = dataclasses.replace(FULL, ordered_output=True, **options)
+    inputs = run.Inputs(paired=found.paired, interleaved=found.interleaved)
+    names = [n for names in run.outputs(run.plan_items(inputs, cfg), cfg).values() for n in names]
+    run.run(spark, cfg, inputs, folder, 1 << 16)
+    known = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(k).cast("long"), F.lit(n.split(".")[0]))))
+    return fastq.read_fastq(spark, [(k, 0, f"{folder}/{n}") for k, n in enumerate(names)]).select(known[F.col("input_id")].alias("file"), "ordinal", "header", "seq", "plus", "qual")
+
+
+_cut = "case when route like 'rejected%' then {0} else substr({0},l::int+1,(r-l)::int) end {0}"
+_out = f"o as (select 's'||input_id||case when route='paired' then {{0}} when route like 'single%' then '_R'||mate||'_unpaired_filtered' else {{1}} end file, ordinal rid, mate, header, {_cut.format('seq')}, plus, {_cut.format('qual')}, z.n from z where input_id>0)"
+
+
+@query(_with(RUN, _out.format("'_R'||mate||'_paired_filtered'", "'_R'||mate||'_rejected'"), select="select file, row_number() over (partition by file order by rid)-1 ordinal, header, seq, plus, qual from o"))
+def run_outputs(spark, sf_dir):
+    """Packed files of pairs, singletons and rejected reads."""
+    return _written(spark, sf_dir, write_rejected=True, gzip=True)
+
+
+@query(_with(RUN, _out.format("'_interleaved_filtered'", "'_rejected'"), select="select file, row_number() over (partition by file order by rid, mate)-1 ordinal, header, seq, plus, qual from o where file like '%interleaved%'"))
+def run_interleaved(spark, sf_dir):
+    """Pairs in one file, singletons not written."""
+    return _written(spark, sf_dir, interleaved_out=True, discard_singles=True)
+
+
+# --- Adapters ------------------------------------------------------------------------------------------------------
+
+#: The built-in table, written out for the comparison.
+_table = """('AmpliSeq','AmpliSeq','CTGTCTCTTATACACATCT',0), ('Illumina_miRNA','Illumina_miRNA','AGATCGGAAGAGCACACGTCTGAACTCCAGTCA',1), ('Illumina_RNA','Illumina_RNA','ACTGTCTCTTATACACATCT',2),
+ ('Nextera','Nextera','CTGTCTCTTATACACATCT',3), ('TruSeq','Read 1','AGATCGGAAGAGCACACGTCTGAACTCCAGTCA',4), ('TruSeq','Read 2','AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT',5),
+ ('TruSeq_DNA_methylation','Read 1','AGATCGGAAGAGCACACGTCTGAAC',6), ('TruSeq_DNA_methylation','Read 2','AGATCGGAAGAGCGTCGTGTAGGGA',7),
+ ('TruSeq_Ribo_profile','TruSeq_Ribo_profile','AGATCGGAAGAGCACACGTCT',8), ('TruSeq_small_RNA','TruSeq_small_RNA','TGGAATTCTCGGGTGCCAAGG',9)"""
+
+
+@query(f"select g group_name, n name, s seq, k::int priority from (values {_table}) t(g,n,s,k)")
 def adapter_table(spark, sf_dir):
     rows = [(g, n, s, k) for k, (g, n, s) in enumerate((g, n, s) for g, e in GROUPS.items() for n, s in e)]
     return spark.createDataFrame(rows, "group_name string, name string, seq string, priority int")
 
 
+#: By the rules: equal sequences once; a sequence that chosen groups have for the other mate only goes; lists for mates win.
+_lists = f"""with a(g,n,s,k) as (values {_table}),
+ every as (select s, min(k) k, count(*) filter (n<>'Read 2')>0 one, count(*) filter (n<>'Read 1')>0 two from a group by s),
+ truseq as (select s, k, n='Read 1' one, n='Read 2' two from a where g='TruSeq'),
+ more as (select * from truseq union all values ('GGG',100,true,true), ('ACGT',101,true,true)),
+ wanted as (select 'all' options, * from every union all select 'default', * from truseq union all select 'add', * from more
+  union all values ('only','TTTT',0,true,true), ('mate 1','AC',0,true,false))
+select options, mate::int mate, (row_number() over (partition by options, mate order by k)-1)::int place, s seq from wanted, (values (0),(1),(2)) m(mate) where mate=0 or (mate=1 and one) or (mate=2 and two)"""
+
+
+@query(_lists)
+def adapter_lists(spark, sf_dir):
+    """What is searched for in unpaired reads and in either mate, under several options."""
+    variants = {"default": {}, "all": {"adapter_group": ("all",)}, "add": {"adapter_add": "ggg,,ACGT,"}, "only": {"adapter_excl": "tttt"}, "mate 1": {"adapter_read_1": "AC"}}
+    rows = [(name, mate, k, seq) for name, options in variants.items() for mate in (0, 1, 2) for k, seq in enumerate(searched(TrimConfig(adapter=True, **options), mate))]
+    return spark.createDataFrame(rows, "options string, mate int, place int, seq string")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in found.items()}
 

@@ -222,11 +222,12 @@ def read_count_estimate(path: str, sample: int = 50) -> int:
 # --- Writing -------------------------------------------------------------------------------------------------------
 
 
-def write_files(df: DataFrame, folder: str, gzip_level: int | None = None, ordered: bool = False) -> dict[str, int]:
+def write_files(df: DataFrame, folder: str, gzip_level: int | None = None, ordered: bool = False, joined: bool = True) -> dict[str, int]:
     """Writes rows (file, ordinal, record) to one file for each ``file``; returns the records written to each.
 
-    Tasks write parts (whole gzip members when packed) to a staging folder under names of their own and report them; the
-    driver joins the reported parts, which is legal for gzip members too. With ``ordered``, records come by ordinal.
+    Tasks write parts (whole gzip members when packed) under names of their own and report them. Parts are joined by a task
+    a file, which is legal for gzip members too, so no byte passes the driver; with ``joined`` off, each file is a folder of
+    numbered parts instead, and nothing is copied. With ``ordered``, records come by ordinal.
     """
     fs, root = files.open_fs(folder)
     staging = f"{root}/.parts"
@@ -264,14 +265,28 @@ def write_files(df: DataFrame, folder: str, gzip_level: int | None = None, order
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, os.path.basename(path), number, lows[name], counts[name])], ["file", "part", "number", "low", "n"])
 
     told = sorted(rows.mapInArrow(run, "file string, part string, number long, low long, n long").collect(), key=lambda r: (r["file"], r["number"]))
-    written: dict[str, int] = {}
-    for name, own in itertools.groupby(told, key=lambda r: r["file"]):
-        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
-            for r in own:
-                with fs.open_input_stream(f"{staging}/{r['part']}", compression=None) as f:
-                    while block := f.read(1 << 20):
-                        out.write(block)
-                written[name] = written.get(name, 0) + r["n"]
+    written = {name: sum(r["n"] for r in own) for name, own in itertools.groupby(told, key=lambda r: r["file"])}
+
+    def gather(parts):
+        store, base = files.open_fs(folder)
+        for batch in parts:
+            for r in batch.to_pylist():
+                if joined:
+                    with store.open_output_stream(f"{base}/{r['file']}", compression=None) as out:
+                        for part in r["parts"]:
+                            with store.open_input_stream(f"{base}/.parts/{part}", compression=None) as f:
+                                while block := f.read(1 << 20):
+                                    out.write(block)
+                else:
+                    store.create_dir(f"{base}/{r['file']}", recursive=True)
+                    for k, part in enumerate(r["parts"]):
+                        store.move(f"{base}/.parts/{part}", f"{base}/{r['file']}/part-{k:06d}")
+            yield batch.select(["file"])
+
+    if written:
+        lists = [(name, [r["part"] for r in told if r["file"] == name]) for name in written]
+        spark = df.sparkSession
+        spark.createDataFrame(lists, "file string, parts array<string>").repartition(len(lists), "file").mapInArrow(gather, "file string").collect()
     fs.delete_dir(staging)
     return written
 

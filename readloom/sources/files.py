@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
+import tempfile
+import uuid
 
 import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -81,3 +85,36 @@ def end_of_content(path: str) -> int:
                 return start + len(block)
             at = start
     return 0
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a local session may leave that unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_root()
+    return f"{root.rstrip('/')}/readloom-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="readloom-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table written to a shared folder, which outlives executors; and the folder."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def write_text(path: str, text: str) -> None:
+    fs, name = open_fs(path)
+    with fs.open_output_stream(name, compression=None) as out:
+        out.write(text.encode("utf-8"))
