@@ -1,31 +1,36 @@
-"""Katz backoff bigram model: counts from a training fold of the corpus, and the score of every text.
+"""Katz backoff trigram model: counts from a training fold of the corpus, and the score of every text.
 
-Words are runs of bytes other than white space, A-Z lowered; each text ends with one end token, counted as a token.
+Words are runs of bytes other than white space, A-Z lowered; each text ends with one end token, counted as a token, and
+begins after as many begin tokens as a context has. ``ORDER`` is the longest n-gram; the model is the same at any order.
 
-Counts of 1 to 5 are discounted by Good-Turing (Katz's formula; where the counts of counts don't allow it, by the
+Counts of 1 to 5 are discounted by Good-Turing (Katz's formula; where an order's counts of counts don't allow it, by the
 absolute discount n1 / (n1 + 2 n2)). Words never seen share one class, which has what the word discounts set free. After
-a context that was seen, a pair that was seen has its discounted share, others the backoff weight times the word's
-probability; weights are normalised exactly: what is left over the probability of all words not seen there. A context
-whose pairs are all frequent gives 1 / (its count + 1) away.
+a context that was seen, an n-gram that was seen has its discounted share; others have the backoff weight times the word's
+probability after the context without its first word, and so on down to the word alone. Weights are normalised exactly:
+what is left over the lower probability of all words not seen there. A context whose n-grams are all frequent gives
+1 / (its count + 1) away. A context never seen leaves the decision to the shorter one.
 
-Tables are partitioned and grow with the corpus; nothing of them goes to the driver but sums and the contexts with more
-than 1 / (4 * parts) of all tokens, of which there are fewer than 4 * parts.
+Tables are partitioned and grow with the corpus; only sums go to the driver.
 
-* Chunks (about 8 MB of text): the distinct words' 64-bit hashes and each token's place among them.
+* Chunks (about 8 MB of text): the distinct words' 64-bit hashes and each token's place among them. A text longer than a
+  chunk goes on in the next, which begins with the words that its first contexts need.
 * Word table: every chunk deals its distinct words and their training counts to parts by hash; a part adds them up and
   answers each chunk.
-* Pair table: chunks deal their distinct pairs (48-bit hashes within a part) by the context's hash, pairs of frequent
-  contexts by the pair's own, so no context crowds a part. Parts answer with the pair's count and, per context, what its
-  weight needs.
-* Every chunk then evaluates its tokens.
+* Order by order, n-grams (64-bit hashes) with their training counts and the word's probability one order below go to the
+  context's part, which adds up, and answers with counts and what the contexts' weights need. N-grams of a frequent
+  context (more than 1 / (4 * parts) of all tokens) go by their own hash, so no context crowds a part; what parts know of it is
+  added up and joined to the chunks that have it. A chunk sends at most one row a part and one an n-gram.
+* Every chunk then evaluates its tokens; what a text has in several chunks is added up.
 
 Null and empty texts consist of the end token. Rows with a null id are scored, not learned from. Repeated rows are each
-learned from and scored. Without training rows every token is of the unseen class and scores are 0.
+learned from and scored. Without training rows every token is of the unseen class and scores are 0. Texts of any length:
+hashing sees 512 KB at a time, and a step of the model one chunk.
 """
 
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +38,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, in_steps, materialize, utf8
-from .textops import Words, mix
+from .common import crc_fold, discard, in_steps, materialize, utf8
+from .textops import Words, mix, without_long_words, word_spans
 
-FOLDS, HELD_OUT = 5, 1
+FOLDS, HELD_OUT, ORDER = 5, 1, 3
 CHUNK_BYTES, TOKENS_PER_PART, KATZ = 8 << 20, 2_000_000, 5
-#: The pair table is dealt in so many turns, each with its share of the parts: that much less of it moves at a time.
-TURNS = 3
+#: An order's n-grams are dealt in so many turns, each with its share of the parts: that much less of them moves at a time.
+TURNS = {2: 3, 3: 6}
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3C2B1B)
-#: Kinds of rows. Chunks; their words for the parts; answers; pairs of ordinary and frequent contexts; answers; sums.
-CHUNK, WORDS, WORD_ANSWER, PAIRS, FREQUENT, PAIR_ANSWER, FREQUENT_ANSWER, CONTEXT, SUMS = range(9)
-ROW = "chunk long, kind int, part int, ids array<long>, x binary, y binary, z binary"
-SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+#: Kinds of rows. Chunks; their words for the parts; answers; n-grams of ordinary and frequent contexts; answers; what a part
+#: knows of a frequent context; frequent contexts of a chunk; a frequent context's numbers; sums.
+CHUNK, WORDS, WORD_ANSWER, GRAMS, FREQUENT, ANSWER, FREQUENT_ANSWER, CONTEXT, WANTED, NUMBERS, SUMS = range(11)
+ROW = "chunk long, kind int, level int, part int, ids array<long>, x binary, y binary, z binary"
+SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("level", pa.int32()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -60,7 +66,7 @@ def unpack(data: bytes, dtype, n: int = 1) -> list[np.ndarray]:
 
 
 def rows(found: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 7, SCHEMA.types, strict=True)], schema=SCHEMA)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 8, SCHEMA.types, strict=True)], schema=SCHEMA)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -104,82 +110,148 @@ class WordModel:
         return np.where(c > 0, self.scale * self.d[np.where(c <= KATZ, c, 0)] * c / max(self.n, 1), self.unseen)
 
 
-def chunks(documents: DataFrame) -> DataFrame:
-    """Chunk rows. x: hashes of the distinct words; y: tokens' places; z: texts' numbers of tokens and folds (1: training, 2: held out)."""
+def chunks(documents: DataFrame, order: int = ORDER) -> DataFrame:
+    """Chunk rows. ids: doc_ids and, after them, numbers of the rows; x: hashes of the distinct words; y: tokens' places;
+    z: for each piece of a text its tokens, how many of them are context only, its fold (1: training, 2: held out), whether it
+    begins the text."""
     fold = crc_fold("doc_id", FOLDS)
     source = documents.select(F.col("doc_id").cast("long"), "text", F.when(fold.isNull(), 0).when(fold == HELD_OUT, 2).otherwise(1).cast("int").alias("fold"))
 
+    def hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The words of each text."""
+        for a, b in in_steps([len(t) for t in texts]):
+            if b - a == 1:
+                yield np.concatenate([Words([span]).hashes() for span in word_spans(texts[a])])
+                continue
+            w = Words(texts[a:b])
+            yield from np.split(w.hashes(), w.first[1:])
+
     def run(batches):
         from pyspark import TaskContext
 
-        base, k = TaskContext.get().partitionId() << 32, 0
+        base, k, number = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            ids, texts, fold = batch.column(0).to_pylist(), utf8(batch.column(1)), np.array(batch.column(2).to_pylist(), np.int32)
+            ids, texts, fold = batch.column(0).to_pylist(), without_long_words(utf8(batch.column(1))), batch.column(2).to_pylist()
             for a, b in in_steps([len(t) for t in texts], CHUNK_BYTES):
-                hashes, counts = [], []
-                for c, d in in_steps([len(t) for t in texts[a:b]]):  # hashing takes much memory a byte
-                    w = Words(texts[a + c : a + d])
-                    hashes.append(np.insert(w.hashes(), w.first + w.count, END))
-                    counts.append(w.count + 1)
-                known, place = np.unique(np.concatenate(hashes), return_inverse=True)
-                out = (base + k, CHUNK, None, ids[a:b], known.tobytes(), pack(place.astype(np.int32)), pack(np.concatenate(counts).astype(np.int32), fold[a:b]))
-                k += 1
-                yield from rows([out]).to_batches()
+                # One chunk, or the chunks of one long text.
+                parts = [list(hashes(texts[a:b]))] if len(texts[a]) <= CHUNK_BYTES else [list(hashes([span])) for span in word_spans(texts[a], CHUNK_BYTES)]
+                lead = np.zeros(0, np.uint64)
+                for j, words in enumerate(parts):
+                    last = j == len(parts) - 1
+                    lists = [np.concatenate([lead, h, np.full(int(last), END)]) for h in words]
+                    known, place = np.unique(np.concatenate(lists), return_inverse=True)
+                    sizes = np.array([[len(x) for x in lists], [len(lead)] * len(lists), fold[a:b], [int(j == 0)] * len(lists)], np.int32)
+                    out = (base + k, CHUNK, None, None, [*ids[a:b], *(base + number + i for i in range(b - a))], known.tobytes(), pack(place.astype(np.int32)), pack(*sizes))
+                    k += 1
+                    lead = lists[0][max(0, len(lists[0]) - order + 1) :]
+                    yield from rows([out]).to_batches()
+                number += b - a
 
     return source.mapInArrow(run, ROW)
 
 
+@dataclasses.dataclass
+class Model:
+    """The word model and the discounts of each order from 2 on."""
+
+    words: WordModel
+    parts: int
+    d: dict[int, np.ndarray] = dataclasses.field(default_factory=dict)
+
+
+class Grams:
+    """The distinct n-grams of a chunk, in the order in which parts see them.
+
+    of_token: each token's n-gram; context, word: what it is made of; lower: the n-gram without its first word; key: its hash;
+    seen: the context's training count; runs: where the next context begins.
+    """
+
+    def __init__(self, chunk: Chunk, below: Grams | None, counts: np.ndarray, model: Model):
+        place, first = chunk.place, chunk.begins
+        of_token, hashes = (place, chunk.words) if below is None else (below.of_token, below.key)
+        n, width = len(hashes), len(chunk.words)
+        before = np.empty(len(place), np.int64)
+        before[1:] = of_token[:-1]
+        before[first] = n  # each text begins after BEGIN
+        codes, at, inverse = np.unique(before * width + place, return_index=True, return_inverse=True)
+        context, word, lower = codes // width, codes % width, of_token[at]
+        hashes, seen = np.append(hashes, BEGIN), np.append(counts, model.words.texts)[context]
+        key = mix(hashes[context] * np.uint64(0x9E3779B97F4A7C15) + chunk.words[word])
+        frequent = seen * 4 * model.parts > model.words.n
+        part = (np.where(frequent, key, mix(hashes[context])) % np.uint64(model.parts)).astype(np.int64)
+        order = np.lexsort((context, part, frequent))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.context, self.word, self.lower, self.key, self.seen, self.frequent, self.part, self.of_token = context[order], word[order], lower[order], key[order], seen[order], frequent[order], part[order], back[inverse]
+        self.head = hashes[self.context]
+        self.runs = np.flatnonzero(np.append(True, (self.context[1:] != self.context[:-1]) | (self.frequent[1:] != self.frequent[:-1]) | (self.frequent[1:] & (self.part[1:] != self.part[:-1]))))
+
+
 class Chunk:
     """A chunk row and, if given, the answers to it."""
 
     def __init__(self, table: pa.Table):
         found = table.to_pylist()
         row = next(r for r in found if r["kind"] == CHUNK)
-        self.id, self.ids = row["chunk"], row["ids"]
+        self.id = row["chunk"]
         self.words = np.frombuffer(row["x"], np.uint64)
         (self.place,) = unpack(row["y"], np.int32)
-        self.sizes, self.fold = unpack(row["z"], np.int32, 2)
-        self.answers = {k: sorted((r for r in found if r["kind"] == k), key=lambda r: r["part"]) for k in (WORD_ANSWER, PAIR_ANSWER, FREQUENT_ANSWER)}
+        self.sizes, lead, fold, begins = unpack(row["z"], np.int32, 4)
+        self.ids, self.numbers = row["ids"][: len(self.sizes)], row["ids"][len(self.sizes) :]
+        self.fold = fold
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.begins = starts
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        #: Tokens that count; the others are there as context.
+        self.own = np.arange(len(self.place)) - starts[self.doc] >= lead[self.doc]
+        self.training = self.own & (fold[self.doc] == 1)
+        self.answers: dict[tuple[int, int | None], list[dict]] = {}
+        for r in sorted((r for r in found if r["kind"] != CHUNK), key=lambda r: r["part"] or 0):
+            self.answers.setdefault((r["kind"], r["level"]), []).append(r)
 
     def training_counts(self, codes: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(codes[self.fold[self.doc] == 1], minlength=width)
+        return np.bincount(codes[self.training], minlength=width)
 
     def word_counts(self) -> np.ndarray:
-        return np.concatenate([unpack(r["x"], np.int64)[0] for r in self.answers[WORD_ANSWER]])
-
-    def pairs(self, model: WordModel, parts: int, word_counts: np.ndarray):
-        """Distinct pairs in the order in which parts see them, and each token's place among them."""
-        w = len(self.words)
-        before = np.empty(len(self.place), np.int64)
-        before[1:] = self.place[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = w  # each text begins after BEGIN
-        codes, inverse = np.unique(before * (w + 1) + self.place, return_inverse=True)
-        context, word = codes // (w + 1), codes % (w + 1)
-        hashes = np.append(self.words, BEGIN)
-        seen = np.append(word_counts, model.texts)[context]
-        key = mix(hashes[context] * np.uint64(0x9E3779B97F4A7C15) + hashes[word])
-        frequent = seen * 4 * parts > model.n
-        part = (np.where(frequent, key, mix(hashes[context])) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((context, part, frequent))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return context[order], word[order], hashes[context[order]], key[order] >> np.uint64(16), seen[order], frequent[order], part[order], back[inverse]
-
-
-def _edges(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-
-
-def _six(keys: np.ndarray) -> bytes:
-    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        return np.concatenate([unpack(r["x"], np.int64)[0] for r in self.answers[WORD_ANSWER, None]])
+
+    def up_to(self, model: Model, order: int) -> tuple[Grams | None, np.ndarray, np.ndarray]:
+        """The n-grams of an order, their training counts and probabilities, recursively from the words."""
+        if order == 1:
+            counts = self.word_counts()
+            return None, counts, model.words.p(counts)
+        below, counts, p = self.up_to(model, order - 1)
+        grams = Grams(self, below, counts, model)
+        n = np.concatenate([unpack(r["x"], np.int64)[0] for kind in (ANSWER, FREQUENT_ANSWER) for r in self.answers.get((kind, order), [])])
+        few, more, mass = np.zeros((KATZ, len(grams.runs))), np.zeros(len(grams.runs)), np.zeros(len(grams.runs))
+        plain = ~grams.frequent[grams.runs]
+        if plain.any():
+            got = [(unpack(r["y"], np.int64, KATZ + 1), unpack(r["z"], np.float64)[0]) for r in self.answers[ANSWER, order]]
+            for j in range(KATZ):
+                few[j, plain] = np.concatenate([g[j] for g, _ in got])
+            more[plain] = np.concatenate([g[KATZ] for g, _ in got])
+            mass[plain] = np.concatenate([m for _, m in got])
+        known = {r["ids"][0]: (np.frombuffer(r["x"], np.int64), np.frombuffer(r["y"], np.float64)[0]) for r in self.answers.get((NUMBERS, order), [])}
+        for i in np.flatnonzero(~plain):
+            f, m = known[int(grams.head[grams.runs[i]].view(np.int64))]
+            few[:, i], more[i], mass[i] = f[:KATZ], f[KATZ], m
+        seen = grams.seen
+        scale, weight = weights(model.d[order], seen[grams.runs], few, more, mass)
+        length = np.diff(np.append(grams.runs, len(seen)))
+        scale, weight = np.repeat(scale, length), np.repeat(weight, length)
+        d = model.d[order][np.where(n <= KATZ, n, 0)]
+        return grams, n, np.where(n > 0, scale * d * n / np.maximum(seen, 1), weight * p[grams.lower])
 
 
-def _eight(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def weights(d: np.ndarray, seen: np.ndarray, few: np.ndarray, more: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts: the scale of seen n-grams and the backoff weight of others."""
+    c = np.arange(1, KATZ + 1)[:, None]
+    kept = (d[1:, None] * c * few).sum(axis=0) + more
+    scale = np.where((few * (1 - d[1:, None]) > 0).any(axis=0), 1.0, seen / (seen + 1.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = 1 - scale * kept / seen
+        weight = np.where(seen > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+    return scale, weight
 
 
 def deal_words(table: DataFrame, parts: int) -> DataFrame:
@@ -191,7 +263,7 @@ def deal_words(table: DataFrame, parts: int) -> DataFrame:
                 c = Chunk(pa.Table.from_batches([batch.slice(i, 1)]))
                 n = c.training_counts(c.place, len(c.words)).astype(np.int64)
                 at = np.concatenate([[0], np.searchsorted(c.words, bounds), [len(c.words)]])
-                out = [(c.id, WORDS, p, None, c.words[a:b].tobytes(), pack(n[a:b]), None) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+                out = [(c.id, WORDS, None, p, None, c.words[a:b].tobytes(), pack(n[a:b]), None) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
                 yield from rows(out).to_batches()
 
     return table.mapInArrow(run, ROW)
@@ -204,156 +276,163 @@ def add_words(table: pa.Table) -> pa.Table:
     known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.rint(np.bincount(inverse, np.concatenate([unpack(r["y"], np.int64)[0] for r in found]), len(known))).astype(np.int64)
     answers = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-    out = [(r["chunk"], WORD_ANSWER, r["part"], None, pack(a), None, None) for r, a in zip(found, answers, strict=True)]
+    out = [(r["chunk"], WORD_ANSWER, None, r["part"], None, pack(a), None, None) for r, a in zip(found, answers, strict=True)]
     sums = [total.sum(), (total > 0).sum(), *((total == j).sum() for j in range(1, KATZ + 2))]
-    return rows([*out, (None, SUMS, found[0]["part"], None, np.array(sums, np.int64).tobytes(), None, None)])
+    return rows([*out, (None, SUMS, None, found[0]["part"], None, np.array(sums, np.int64).tobytes(), None, None)])
 
 
-def deal_pairs(model: WordModel, parts: int, turn: int):
-    """The pairs of every ``TURNS``-th part."""
+def deal_grams(model: Model, order: int, turn: int):
+    """A chunk's n-grams for every ``TURNS``-th part: x: hashes; y: training counts and the contexts' run lengths; z: the words'
+    probabilities one order below (0 where this chunk has not trained on the n-gram) and the contexts' hashes."""
+    turns = TURNS.get(order, 6)
 
     def run(table: pa.Table) -> pa.Table:
         c = Chunk(table)
-        counts = c.word_counts()
-        context, word, h, key, _, frequent, part, inverse = c.pairs(model, parts, counts)
-        n = c.training_counts(inverse, len(key)).astype(np.int32)
-        cw = counts[word].astype(np.int64)
-        out = []
-        starts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (frequent[1:] != frequent[:-1])))
-        for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
-            if part[a] % TURNS != turn:
+        below, counts, p = c.up_to(model, order - 1)
+        g = Grams(c, below, counts, model)
+        n = c.training_counts(g.of_token, len(g.key)).astype(np.int64)
+        lower = np.where(n > 0, p[g.lower], 0.0)
+        out, wanted = [], {}
+        starts = np.flatnonzero(np.append(True, (g.part[1:] != g.part[:-1]) | (g.frequent[1:] != g.frequent[:-1])))
+        for a, b in zip(starts, np.append(starts[1:], len(g.key)), strict=True):
+            if g.part[a] % turns != turn:
                 continue
-            runs = _edges(context[a:b])
-            lengths = np.diff(np.append(runs, b - a))
-            out.append((c.id, FREQUENT if frequent[a] else PAIRS, int(part[a]), None, _six(key[a:b]), pack(n[a:b].astype(np.int64), cw[a:b], lengths), h[a:b][runs].tobytes()))
+            begin = g.runs[np.searchsorted(g.runs, a) : np.searchsorted(g.runs, b)]
+            heads, lengths = g.head[begin], np.diff(np.append(begin, b))
+            out.append((c.id, FREQUENT if g.frequent[a] else GRAMS, order, int(g.part[a]), None, g.key[a:b].tobytes(), pack(n[a:b], lengths), pack(lower[a:b].view(np.uint64), heads)))
+        if turn == 0:
+            for h in np.unique(g.head[g.frequent]).view(np.int64).tolist():
+                wanted.setdefault(0, []).append(h)
+        out += [(c.id, WANTED, order, part, hashes, None, None, None) for part, hashes in wanted.items()]
         return rows(out)
 
     return run
 
 
-def add_pairs(model: WordModel):
-    """A part's pairs added up; answers; what the weights of its contexts need."""
+def add_grams(order: int):
+    """A part's n-grams added up; answers; what the weights of its contexts need."""
 
     def of_kind(found: list[dict], frequent: bool) -> tuple[list[tuple], np.ndarray]:
-        keys = [_eight(r["x"]) for r in found]
-        parts = [unpack(r["y"], np.int64, 3) for r in found]
-        contexts = [np.frombuffer(r["z"], np.uint64) for r in found]
-        heads, head_of = np.unique(np.concatenate(contexts), return_inverse=True)
-        head_of_pair = np.repeat(head_of, np.concatenate([p[2] for p in parts]))
+        keys = [np.frombuffer(r["x"], np.uint64) for r in found]
+        numbers = [unpack(r["y"], np.int64, 2) for r in found]
+        others = [unpack(r["z"], np.uint64, 2) for r in found]
+        heads, head_of = np.unique(np.concatenate([h for _, h in others]), return_inverse=True)
+        head_of_gram = np.repeat(head_of, np.concatenate([lengths for _, lengths in numbers]))
         known, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.rint(np.bincount(inverse, np.concatenate([p[0] for p in parts]), len(known))).astype(np.int64)
+        total = np.rint(np.bincount(inverse, np.concatenate([n for n, _ in numbers]), len(known))).astype(np.int64)
+        lower = np.zeros(len(known))
+        np.maximum.at(lower, inverse, np.concatenate([p for p, _ in others]).view(np.float64))  # the same in all chunks that have it
         seen = np.flatnonzero(total)
-        head, c = head_of_pair[first[seen]], total[seen]
-        p = model.p(np.concatenate([x[1] for x in parts])[first[seen]])
+        head, c = head_of_gram[first[seen]], total[seen]
         few = [np.bincount(head[c == j], minlength=len(heads)) for j in range(1, KATZ + 1)]
         more = np.rint(np.bincount(head, np.where(c > KATZ, c, 0), len(heads))).astype(np.int64)
-        mass = np.bincount(head, p, len(heads))
-        out, at, at_head = [], 0, 0
-        answer = total[inverse]
-        for r, k, x in zip(found, keys, contexts, strict=True):
-            own = head_of[at_head : at_head + len(x)]
-            out.append((r["chunk"], FREQUENT_ANSWER if frequent else PAIR_ANSWER, r["part"], None, pack(answer[at : at + len(k)]), None if frequent else pack(*(f[own] for f in few), more[own]), None if frequent else pack(mass[own])))
+        mass = np.bincount(head, lower[seen], len(heads))
+        out, at, at_head, answer = [], 0, 0, total[inverse]
+        for r, k, (_, lengths), (_, x) in zip(found, keys, numbers, others, strict=True):
+            own, n = head_of[at_head : at_head + len(x)], answer[at : at + len(k)]
+            if frequent:
+                out.append((r["chunk"], FREQUENT_ANSWER, order, r["part"], None, pack(n), None, None))
+            else:
+                # Only what backs off needs the mass.
+                unseen = np.minimum.reduceat(n, np.cumsum(lengths) - lengths) == 0
+                out.append((r["chunk"], ANSWER, order, r["part"], None, pack(n), pack(*(f[own] for f in few), more[own]), pack(np.where(unseen, mass[own], 0.0))))
             at, at_head = at + len(k), at_head + len(x)
         if frequent:
-            for i, h in enumerate(heads):
-                out.append((int(h.view(np.int64)), CONTEXT, None, None, np.array([*(f[i] for f in few), more[i]], np.int64).tobytes(), np.array([mass[i]]).tobytes(), None))
+            for i, h in enumerate(heads.view(np.int64).tolist()):
+                out.append((None, CONTEXT, order, None, [h], np.array([*(f[i] for f in few), more[i]], np.int64).tobytes(), np.array([mass[i]]).tobytes(), None))
         return out, np.array([(total == j).sum() for j in range(1, KATZ + 2)], np.int64)
 
     def run(table: pa.Table) -> pa.Table:
-        found, out, sums = table.to_pylist(), [], np.zeros(KATZ + 1, np.int64)
-        for kind in (PAIRS, FREQUENT):
+        found, sums = table.to_pylist(), np.zeros(KATZ + 1, np.int64)
+        out = [tuple(r[k] for k in SCHEMA.names) for r in found if r["kind"] == WANTED]
+        for kind in (GRAMS, FREQUENT):
             if own := [r for r in found if r["kind"] == kind]:
                 more, n = of_kind(own, kind == FREQUENT)
                 out, sums = out + more, sums + n
-        return rows([*out, (None, SUMS, found[0]["part"], None, sums.tobytes(), None, None)])
+        return rows([*out, (None, SUMS, order, found[0]["part"], None, sums.tobytes(), None, None)])
 
     return run
 
 
-@dataclasses.dataclass
-class PairModel:
-    d: np.ndarray
-    frequent: dict[int, tuple[np.ndarray, float]]
+def numbers_of_contexts(made: DataFrame) -> DataFrame:
+    """Rows NUMBERS: for each chunk the sums of its frequent contexts."""
+
+    def together(key, table):
+        x = sum(np.frombuffer(v, np.int64) for v in table.column("x").to_pylist())
+        y = sum(sorted(np.frombuffer(v, np.float64)[0] for v in table.column("y").to_pylist()))
+        return pa.table({"h": pa.array([key[0].as_py()]), "x": pa.array([x.tobytes()], pa.binary()), "y": pa.array([np.array([y]).tobytes()], pa.binary())})
+
+    found = made.where(f"kind = {CONTEXT}").select(F.col("ids")[0].alias("h"), "x", "y").groupBy("h").applyInArrow(together, "h long, x binary, y binary")
+    wanted = made.where(f"kind = {WANTED}").select("chunk", "level", F.explode("ids").alias("h"))
+    return wanted.join(found, "h").select("chunk", F.lit(NUMBERS).alias("kind"), "level", F.lit(None).cast("int").alias("part"), F.array("h").alias("ids"), "x", "y", F.lit(None).cast("binary").alias("z"))
+
 
-    def weights(self, seen: np.ndarray, few: np.ndarray, more: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For contexts: the scale of seen pairs and the backoff weight of others."""
-        c = np.arange(1, KATZ + 1)[:, None]
-        kept = (self.d[1:, None] * c * few).sum(axis=0) + more
-        scale = np.where((few * (1 - self.d[1:, None]) > 0).any(axis=0), 1.0, seen / (seen + 1.0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = 1 - scale * kept / seen
-            weight = np.where(seen > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
-        return scale, weight
+RESULT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def evaluate(model: WordModel, pair: PairModel, parts: int):
+def evaluate(model: Model, order: int):
     def run(table: pa.Table) -> pa.Table:
         c = Chunk(table)
-        counts = c.word_counts()
-        context, word, h, _, seen, frequent, _, inverse = c.pairs(model, parts, counts)
-        n = np.concatenate([unpack(r["x"], np.int64)[0] for k in (PAIR_ANSWER, FREQUENT_ANSWER) for r in c.answers[k]])
-        p = model.p(counts[word])
-        runs = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (frequent[1:] != frequent[:-1])))
-        # A frequent context has a run in every part; an ordinary one has one run.
-        few, more, mass = np.zeros((KATZ, len(runs))), np.zeros(len(runs)), np.zeros(len(runs))
-        plain = np.flatnonzero(~frequent[runs])
-        if len(plain):
-            got = [unpack(r["y"], np.int64, KATZ + 1) for r in c.answers[PAIR_ANSWER]]
-            for j in range(KATZ):
-                few[j, plain] = np.concatenate([g[j] for g in got])
-            more[plain] = np.concatenate([g[KATZ] for g in got])
-            mass[plain] = np.concatenate([unpack(r["z"], np.float64)[0] for r in c.answers[PAIR_ANSWER]])
-        for i in np.flatnonzero(frequent[runs]):
-            f, m = pair.frequent[int(h[runs[i]].view(np.int64))]
-            few[:, i], more[i], mass[i] = f[:KATZ], f[KATZ], m
-        scale, weight = pair.weights(seen[runs], few, more, mass)
-        length = np.diff(np.append(runs, len(context)))
-        scale, weight = np.repeat(scale, length), np.repeat(weight, length)
-        known = n > 0
-        value = np.where(known, scale * pair.d[np.where(n <= KATZ, n, 0)] * n / np.maximum(seen, 1), weight * p)
-        score = np.bincount(c.doc, np.log10(value)[inverse], len(c.sizes))
-        own = counts[c.place]
-        base = np.bincount(c.doc, np.log10((own + 0.5) / (model.n + 0.5 * (model.v + 1))), len(c.sizes))
+        grams, _, p = c.up_to(model, order)
+        of_token, docs, own = c.place if grams is None else grams.of_token, len(c.sizes), c.own
+        doc, n = c.doc[own], c.word_counts()[c.place][own]
         return pa.table({
-            "doc_id": pa.array(c.ids, pa.int64()), "held_out": pa.array(c.fold == 2), "n_tokens": c.sizes.astype(np.int64),
-            "n_known": np.bincount(c.doc[own > 0], minlength=len(c.sizes)), "train_tokens": np.full(len(c.sizes), model.n, np.int64), "base_score": base, "score": score,
+            "row": pa.array(c.numbers, pa.int64()), "doc_id": pa.array(c.ids, pa.int64()), "held_out": pa.array(c.fold == 2), "n_tokens": np.bincount(doc, minlength=docs),
+            "n_known": np.bincount(doc[n > 0], minlength=docs), "base_score": np.bincount(doc, np.log10((n + 0.5) / (model.words.n + 0.5 * (model.words.v + 1))), docs),
+            "score": np.bincount(doc, np.log10(p)[of_token][own], docs),
         })
 
     return run
 
 
-def score(documents: DataFrame) -> DataFrame:
+def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    fold = crc_fold("doc_id", FOLDS)
-    told = materialize(chunks(documents))
-    sizes = told.select(F.sum(F.size("ids")).alias("texts"), F.sum(F.octet_length("x")).alias("bytes")).first()
-    if not sizes["texts"]:
-        return spark.createDataFrame([], result)
-    texts = documents.where(fold != HELD_OUT).count()
+    told = materialize(chunks(documents, order))
+    sizes = told.select(F.count("*").alias("chunks"), F.sum(F.octet_length("x")).alias("bytes")).first()
+    if not sizes["chunks"]:
+        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = documents.where(crc_fold("doc_id", FOLDS) != HELD_OUT).count()
     # Distinct words of all chunks are about a quarter of the tokens.
     parts = max(16, -(-(sizes["bytes"] // 2) // TOKENS_PER_PART))
-    words = materialize(deal_words(told, parts).groupBy("part").applyInArrow(add_words, ROW))
-    sums = sum(np.frombuffer(r["x"], np.int64) for r in words.where(f"kind = {SUMS}").select("x").collect())
-    model = WordModel.of(int(sums[0]), int(sums[1]), texts, np.append(0, sums[2:]))
-    words = words.where(f"kind = {WORD_ANSWER}")
-    pairs = None
-    for turn in range(TURNS):
-        own = materialize(told.unionAll(words).groupBy("chunk").applyInArrow(deal_pairs(model, parts, turn), ROW).groupBy("part").applyInArrow(add_pairs(model), ROW))
-        pairs = own if pairs is None else pairs.unionAll(own)
-    sums = sum(np.frombuffer(r["x"], np.int64) for r in pairs.where(f"kind = {SUMS}").select("x").collect())
-
-    def together(key, table):
-        x = sum(np.frombuffer(v, np.int64) for v in table.column("x").to_pylist())
-        y = sum(np.frombuffer(v, np.float64)[0] for v in sorted(table.column("y").to_pylist()))
-        return rows([(key[0].as_py(), CONTEXT, None, None, x.tobytes(), np.array([y]).tobytes(), None)])
+    made = materialize(deal_words(told, parts).groupBy("part").applyInArrow(add_words, ROW))
+    sums = _sums(made, KATZ + 3)
+    model = Model(WordModel.of(int(sums[0]), int(sums[1]), texts, np.append(0, sums[2:])), parts)
+    whole = told.unionAll(made.where(f"kind = {WORD_ANSWER}"))
+    for level in range(2, order + 1):
+        turns, sums = [], np.zeros(KATZ + 1, np.int64)
+        for turn in range(TURNS.get(level, 6)):
+            turns.append(materialize(whole.groupBy("chunk").applyInArrow(deal_grams(model, level, turn), ROW).groupBy("part").applyInArrow(add_grams(level), ROW)))
+            sums = sums + _sums(turns[-1])
+        model.d[level] = discounts(np.append(0, sums))
+        made = turns[0]
+        for t in turns[1:]:
+            made = made.unionAll(t)
+        numbers = materialize(numbers_of_contexts(made))
+        whole = whole.unionAll(made.where(F.col("kind").isin(ANSWER, FREQUENT_ANSWER))).unionAll(numbers)
+    pieces = materialize(whole.groupBy("chunk").applyInArrow(evaluate(model, order), RESULT))
+    discard(told)
+    return pieces.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.lit(model.words.n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
+    ).drop("row")
+
+
+def _sums(made: DataFrame, n: int = KATZ + 1) -> np.ndarray:
+    """Over all parts; each is n numbers, which Spark adds up. Zeros if there is no part."""
+    rows_ = made.where(f"kind = {SUMS}").select("x")
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                x = np.frombuffer(v, np.int64)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["x"])
 
-    # Fewer than 4 * parts contexts hold more than 1 / (4 * parts) of the tokens each.
-    contexts = pairs.where(f"kind = {CONTEXT}").groupBy("chunk").applyInArrow(together, ROW).collect()
-    frequent = {r["chunk"]: (np.frombuffer(r["x"], np.int64), float(np.frombuffer(r["y"], np.float64)[0])) for r in contexts}
-    answers = pairs.where(F.col("kind").isin(PAIR_ANSWER, FREQUENT_ANSWER))
-    return told.unionAll(words).unionAll(answers).groupBy("chunk").applyInArrow(evaluate(model, PairModel(discounts(np.append(0, sums)), frequent), parts), result)
+    found = rows_.mapInArrow(add, "x array<long>").select(F.posexplode("x").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()
+    return np.array([r["n"] for r in found] or [0] * n, np.int64)
 
 
-__all__ = ["PairModel", "WordModel", "chunks", "discounts", "score"]
+__all__ = ["Chunk", "Grams", "Model", "WordModel", "chunks", "discounts", "score", "weights"]

@@ -134,16 +134,17 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node reachable, for every node of an edge (a, b). Edges contract until none is left.
 
-    Every round orders the nodes by a new hash; each takes the first of its neighbours and itself as parent, twice over, and
-    what has a common parent becomes one. On any graph, chains and stars too, a share of the nodes goes in every round.
+    A hash orders the nodes; every round each takes the first of its neighbours and itself as parent, twice over, and what
+    has a common parent becomes one. Stars are done in two rounds, and of a chain, in whatever order its ids come, at most the
+    nodes that come before both neighbours are left.
     """
-    labels, turn = None, 0
+    labels = None
     edges = materialize(edges.where("a <> b"))
     while not edges.isEmpty():
         either = edges.union(edges.select("b", "a")).toDF("node", "other")
 
         def ranked(name: str):
-            return F.struct(F.xxhash64(name, F.lit(turn)).alias("h"), F.col(name).alias("up"))  # noqa: B023
+            return F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("up"))
 
         parent = materialize(either.groupBy("node").agg(F.min(ranked("other")).alias("x")).select("node", F.least("x", ranked("node"))["up"].alias("up")))
         above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
@@ -156,7 +157,6 @@ def components(edges: DataFrame) -> DataFrame:
         at = {x: parent.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab"}
         left = edges.join(at["a"], "a").join(at["b"], "b").where("c_a <> c_b")
         edges = materialize(left.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct())
-        turn += 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     least = labels.groupBy("comp").agg(F.min("node").alias("least"))

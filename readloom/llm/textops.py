@@ -110,6 +110,11 @@ def _digest(found: re.Match) -> bytes:
     return word[:1] + hashlib.blake2b(word.lower(), digest_size=16).hexdigest().encode() + word[-2:]
 
 
+def without_long_words(texts: list[bytes]) -> list[bytes]:
+    """The texts with digests for words of 64 KB or more, so that such a word is the same in texts of any length."""
+    return [t if len(t) < LONG else _long_word.sub(_digest, t) for t in texts]
+
+
 def word_spans(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
     """The text in spans of at most ``limit`` bytes that cut no word; words of 64 KB or more are replaced by a digest."""
     if len(text) <= limit:
@@ -143,7 +148,7 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         if len(texts[a]) > STEP_BYTES:  # alone in its step
             yield _long_shingles(texts[a], n)
             continue
-        values, docs = Words(texts[a:b]).shingles(n)
+        values, docs = Words(without_long_words(texts[a:b])).shingles(n)
         order = np.lexsort((values, docs))
         values, docs = values[order], docs[order]
         new = np.ones(len(values), bool)

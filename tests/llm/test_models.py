@@ -153,61 +153,113 @@ def test_quality_scorer_by_brute_force(docs):
         assert r.quality == pytest.approx(1 / (1 + math.exp(-(sum(scorer.weights[c] * v for c, v in zip(cols, values)) + scorer.weights[-1]))), abs=1e-9)
 
 
-def brute(texts):
-    """Scores by dictionaries; the model's formulas word for word."""
+def brute(texts, order):
+    """Scores by dictionaries; the model's formulas word for word, recursively."""
     tokens = {i: [*words(t), "END"] for i, t in texts.items()}
     train = [i for i in tokens if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
-    c1 = collections.Counter(w for i in train for w in tokens[i])
-    c2 = collections.Counter(p for i in train for p in zip(["BEGIN", *tokens[i]], tokens[i]))
-    n, v = sum(c1.values()), len(c1)
+    count = {k: collections.Counter() for k in range(1, order + 1)}
+    for i in train:
+        padded = ["BEGIN"] * (order - 1) + tokens[i]
+        for at in range(order - 1, len(padded)):
+            for k in count:
+                count[k][tuple(padded[at - k + 1 : at + 1])] += 1
+    n, v = sum(count[1].values()), len(count[1])
     follow = collections.defaultdict(list)
-    for (h, w), c in c2.items():
-        follow[h].append((w, c))
+    for k in range(2, order + 1):
+        for gram, c in count[k].items():
+            follow[gram[:-1]].append((gram[-1], c))
     of = lambda c: np.array([0] + [sum(x == j for x in c.values()) for j in range(1, 7)])
-    unigram, d = lm.WordModel.of(n, v, len(train), of(c1)), lm.discounts(of(c2))
-    p = lambda w: float(unigram.p(np.array([c1.get(w, 0)]))[0])
-    share = lambda c: (d[c] if c <= 5 else 1) * c
+    unigram = lm.WordModel.of(n, v, len(train), of(count[1]))
+    d = {k: lm.discounts(of(count[k])) for k in range(2, order + 1)}
+    memo = {}
 
     def after(h, w):
-        if h not in follow:
-            return p(w)
-        total, mass = sum(c for _, c in follow[h]), sum(p(x) for x, _ in follow[h])
-        scale = 1 if any(c <= 5 and d[c] < 1 for _, c in follow[h]) else total / (total + 1)
-        if c2.get((h, w)):
-            return scale * share(c2[h, w]) / total
-        return (1 - scale * sum(share(c) for _, c in follow[h]) / total) / (1 - mass) * p(w)
-
-    scores = {i: sum(math.log10(after(h, w)) for h, w in zip(["BEGIN", *t], t)) for i, t in tokens.items()}
-    return tokens, c1, n, v, scores, after, follow, unigram
-
+        if (h, w) not in memo:
+            memo[h, w] = one(h, w)
+        return memo[h, w]
 
-def test_katz_equals_brute_force(spark):
+    def one(h, w):
+        if not h:
+            return float(unigram.p(np.array([count[1].get((w,), 0)]))[0])
+        if h not in follow:
+            return after(h[1:], w)
+        dd = d[len(h) + 1]
+        share = lambda c: (dd[c] if c <= 5 else 1) * c
+        total = sum(c for _, c in follow[h])
+        scale = 1 if any(c <= 5 and dd[c] < 1 for _, c in follow[h]) else total / (total + 1)
+        if c := count[len(h) + 1].get((*h, w)):
+            return scale * share(c) / total
+        mass = sum(after(h[1:], x) for x, _ in follow[h])
+        return (1 - scale * sum(share(c) for _, c in follow[h]) / total) / (1 - mass) * after(h[1:], w)
+
+    scores = {}
+    for i, t in tokens.items():
+        padded = ["BEGIN"] * (order - 1) + t
+        scores[i] = sum(math.log10(after(tuple(padded[at - order + 1 : at]), padded[at])) for at in range(order - 1, len(padded)))
+    return tokens, count[1], n, v, scores, after, follow
+
+
+@pytest.mark.parametrize("order", [3, 2, 4])
+def test_katz_equals_brute_force(spark, order):
     frame = table(spark, "/root/testdata/sf0.001", "documents")
+    if order != 3:
+        frame = frame.where("doc_id < 60")
     texts = {r.doc_id: r.text for r in frame.collect()}
-    tokens, c1, n, v, scores, after, follow, unigram = brute(texts)
-    for r in lm.score(frame).collect():
+    tokens, c1, n, v, scores, after, follow = brute(texts, order)
+    for r in lm.score(frame, order).collect():
         t = tokens[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in c1 for w in t), n)
-        assert r.score == pytest.approx(scores[r.doc_id], abs=1e-8)
-        assert r.base_score == pytest.approx(sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), abs=1e-8)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum((w,) in c1 for w in t), n)
+        assert r.asDict()["score"] == pytest.approx(scores[r.doc_id], abs=1e-8)
+        assert r.base_score == pytest.approx(sum(math.log10((c1[w,] + 0.5) / (n + 0.5 * (v + 1))) for w in t), abs=1e-8)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-    for h in [*list(follow)[:5], "BEGIN", "never seen"]:  # each context's probabilities sum to 1
-        assert sum(after(h, w) for w in c1) + after(h, "not a word") == pytest.approx(1, abs=1e-9)
+    longest = [h for h in follow if len(h) == order - 1]
+    for h in [*longest[:5], *longest[-3:], ("BEGIN",) * (order - 1), ("never seen",) * (order - 1), (*longest[0][1:], "never")]:
+        assert sum(after(h, w) for (w,) in c1) + after(h, "not a word") == pytest.approx(1, abs=1e-9)
 
 
 def test_katz_with_several_chunks_and_parts(spark, monkeypatch):
+    """Many chunks and many parts, with contexts too frequent for one."""
     frame = table(spark, "/root/testdata/sf0.001", "documents").repartition(5)
-    whole = {r.doc_id: r.score for r in lm.score(frame).collect()}
+    whole = {r.doc_id: tuple(r) for r in lm.score(frame).collect()}
     real = lm.chunks
     monkeypatch.setattr(lm, "TOKENS_PER_PART", 3000)
-    monkeypatch.setattr(lm, "chunks", lambda d: real(d.repartition(17)))
+    monkeypatch.setattr(lm, "chunks", lambda documents, order: real(documents.repartition(17), order))
     for r in lm.score(frame).collect():
-        assert r.score == pytest.approx(whole[r.doc_id], abs=1e-8)
+        assert tuple(r) == pytest.approx(whole[r.doc_id], abs=1e-8)
+
+
+def test_katz_pieces_of_long_texts(spark, monkeypatch):
+    """A text that goes on in further chunks has the contexts it has in one."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 400)
+    rnd = random.Random(6)
+    text = " ".join(rnd.choice("abcdefgh") for _ in range(1000))
+    made = []
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array([5, 7], pa.int64()), pa.array([text, "x y"]), pa.array([1, 1], pa.int32())], ["doc_id", "text", "fold"])
+            made.extend(r for b in f(iter([batch])) for r in [b])
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))
+    lm.chunks(Frame())
+    import pyarrow as pa
+
+    found = [lm.Chunk(pa.Table.from_batches([b])) for b in made]
+    own = np.concatenate([c.words[c.place][c.own] for c in found[:-1]])
+    assert len(found) > 4 and len(own) == 1001 and own[-1] == lm.END
+    assert {tuple(c.numbers) for c in found[:-1]} == {(0,)} and found[-1].numbers == [1]
+    for one, two in zip(found[:-2], found[1:-1]):
+        assert (two.words[two.place][:2] == one.words[one.place][-2:]).all() and two.own[:3].tolist() == [False, False, True]
 
 
 def test_katz_edges(docs):
     frame = docs([None, "", "a a a a", "A a b", "b " * 5000, "b c"], [0, 1, 2, 3, None, 9])
     got = lm.score(frame).collect()
-    assert len(got) == 6 and all(math.isfinite(r.score) for r in got) and [r.held_out for r in got if r.doc_id is None] == [False]
+    assert len(got) == 6 and all(math.isfinite(r.asDict()['score']) for r in got) and [r.held_out for r in got if r.doc_id is None] == [False]
     assert lm.score(frame.where("false")).count() == 0
-    assert all(r.score == 0 and r.train_tokens == 0 for r in lm.score(docs(["x y"], [None])).collect())
+    assert all(r.asDict()['score'] == 0 and r.train_tokens == 0 for r in lm.score(docs(["x y"], [None])).collect())
