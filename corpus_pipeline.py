@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Trained stages have no SQL; the stages are tested against brute-force versions.
+#: Trained stages have no SQL; their operators are tested against brute force in tests/llm, the stages against their operators.
 ORACLE_SQL = None
 
 
