@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, map_batches, materialize, utf8
-from .textops import char_grams, logistic
+from .textops import char_grams, distinct, logistic
 
 FIT_ROWS, PER_ID, WIDTH, ORDERS, BITS = 20_000, 4, 2048, (3, 4, 5, 6), 22
 RANGES = 64
@@ -45,7 +45,7 @@ def _present(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     kept: list[np.ndarray] = []
 
     def once():
-        both = np.unique(np.concatenate(kept))
+        both = distinct(np.concatenate(kept))
         return both >> BITS, both & ((1 << BITS) - 1)
 
     for value, doc in char_grams(texts, ORDERS, BITS):
@@ -54,9 +54,9 @@ def _present(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if kept and kept[0][0] >> BITS != doc[0]:  # another step: the texts before it are done
             yield once()
             kept = []
-        kept.append(np.unique(doc.astype(np.int64) << BITS | value))
+        kept.append(doc.astype(np.int64) << BITS | value)
         if sum(map(len, kept)) > 1 << BITS:  # spans of a long text
-            kept = [np.unique(np.concatenate(kept))]
+            kept = [distinct(np.concatenate(kept))]
     if kept:
         yield once()
 
@@ -144,8 +144,8 @@ def _hits(texts: list[bytes], features: np.ndarray) -> tuple[np.ndarray, np.ndar
     for value, doc in char_grams(texts, ORDERS, BITS):
         index = known[value]
         at = np.flatnonzero(index)
-        found.append(np.unique(doc[at].astype(np.int64) << 16 | index[at]))
-    both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        found.append(distinct(doc[at].astype(np.int64) << 16 | index[at]))
+    both = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return both >> 16, (both & 0xFFFF) - 1
 
 
