@@ -159,7 +159,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(left.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct())
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    least = labels.groupBy("comp").agg(F.min("node").alias("least"))
+    # Written, so that a large component's rows stand right behind a shuffle and the join may split them.
+    least = materialize(labels.groupBy("comp").agg(F.min("node").alias("least")))
     return materialize(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
 
 
@@ -294,7 +295,7 @@ def placed_rows(rows: DataFrame, k: int = K, text: str = "text", id_col: str = "
 def near_duplicates(df: DataFrame, k: int = K, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     placed = materialize(placed_rows(numbered(df.select(id_col, text)), k, text, id_col))
-    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = materialize(placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least")))
     component = F.coalesce("least", "doc_id")
     return placed.join(least, "comp", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
@@ -303,6 +304,6 @@ def one_of_each(df: DataFrame, k: int = K, text: str = "text", id_col: str = "do
     """Of each group one row: that with the smallest id, of several such rows one. Rows outside groups stay, all columns too."""
     rows = numbered(df)
     placed = materialize(placed_rows(rows, k, text, id_col).where("comp IS NOT NULL"))
-    first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
+    first = materialize(placed.groupBy("comp").agg(F.min(F.struct("doc_id", ROW)).alias("first")))
     dropped = placed.join(first, "comp").where(F.col(ROW) != F.col("first")[ROW]).select(ROW)
     return rows.join(dropped, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
