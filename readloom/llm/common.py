@@ -92,6 +92,22 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """A table like materialize()'s in as many buckets of ``key`` as a shuffle has partitions: grouping by the key needs no
+    shuffle of it. It has a name in the session's catalog meanwhile and is deleted afterwards."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark), f"readloom_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    with brief_shuffles(spark):
+        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes a table that materialize() wrote and nothing reads any more."""
     if path := getattr(df, "_readloom_path", None):

@@ -20,6 +20,8 @@ Tables are partitioned and grow with the corpus; only sums go to the driver.
   context's part, which adds up, and answers with counts and what the contexts' weights need. N-grams of a frequent
   context (more than 1 / (4 * parts) of all tokens) go by their own hash, so no context crowds a part; what parts know of it is
   added up and joined to the chunks that have it. A chunk sends at most one row a part and one an n-gram.
+* Chunks are written once, in buckets; what parts answer is shuffled to them, they are not shuffled themselves. A turn makes only
+  its own n-grams.
 * Every chunk then evaluates its tokens; what a text has in several chunks is added up.
 
 Null and empty texts consist of the end token. Rows with a null id are scored, not learned from. Repeated rows are each
@@ -38,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, discard, in_steps, materialize, utf8
+from .common import bucketed, crc_fold, in_steps, materialize, utf8
 from .textops import Words, mix, without_long_words, word_spans
 
 FOLDS, HELD_OUT, ORDER = 5, 1, 3
@@ -159,40 +161,72 @@ class Model:
     d: dict[int, np.ndarray] = dataclasses.field(default_factory=dict)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the values, and where in it each distinct value begins."""
+    order = np.argsort(values)
+    values = values[order]
+    return order, np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
+def numbered(order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each value's number among the distinct ones."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return out
+
+
 class Grams:
-    """The distinct n-grams of a chunk, in the order in which parts see them.
+    """The distinct n-grams of a chunk, in the order in which parts see them, or those of a turn's parts.
 
-    of_token: each token's n-gram; context, word: what it is made of; lower: the n-gram without its first word; key: its hash;
-    seen: the context's training count; runs: where the next context begins.
+    tokens: the tokens whose n-grams these are; of_token: each one's n-gram; context, word: what it is made of; lower: the
+    n-gram without its first word; key: its hash; seen: the context's training count; runs: where the next context begins;
+    wanted: hashes of all frequent contexts (first turn only).
     """
 
-    def __init__(self, chunk: Chunk, below: Grams | None, counts: np.ndarray, model: Model):
+    def __init__(self, chunk: Chunk, below: Grams | None, counts: np.ndarray, model: Model, turn: int = 0, turns: int = 1):
         place, first = chunk.place, chunk.begins
         of_token, hashes = (place, chunk.words) if below is None else (below.of_token, below.key)
         n, width = len(hashes), len(chunk.words)
         before = np.empty(len(place), np.int64)
         before[1:] = of_token[:-1]
         before[first] = n  # each text begins after BEGIN
-        codes, at, inverse = np.unique(before * width + place, return_index=True, return_inverse=True)
-        context, word, lower = codes // width, codes % width, of_token[at]
-        hashes, seen = np.append(hashes, BEGIN), np.append(counts, model.words.texts)[context]
-        key = mix(hashes[context] * np.uint64(0x9E3779B97F4A7C15) + chunk.words[word])
-        frequent = seen * 4 * model.parts > model.words.n
-        part = (np.where(frequent, key, mix(hashes[context])) % np.uint64(model.parts)).astype(np.int64)
-        order = np.lexsort((context, part, frequent))
+        hashes, count = np.append(hashes, BEGIN), np.append(counts, model.words.texts)
+        often = count * 4 * model.parts > model.words.n
+        place_of = mix(hashes) % np.uint64(model.parts)
+        parts = np.uint64(model.parts)
+        self.tokens, self.wanted = np.arange(len(place)), np.zeros(0, np.uint64)
+        if turns > 1:
+            if turn == 0:
+                self.wanted = np.unique(hashes[np.unique(before[often[before]])])
+            part = place_of[before]
+            rare = np.flatnonzero(often[before])
+            part[rare] = self.hashed(hashes[before[rare]], chunk.words[place[rare]]) % parts
+            self.tokens = np.flatnonzero(part % np.uint64(turns) == turn)
+        order, first = distinct(before[self.tokens] * width + place[self.tokens])
+        at = self.tokens[order[first]]
+        inverse = numbered(order, first)
+        context, word, lower = before[at], place[at], of_token[at]
+        key = self.hashed(hashes[context], chunk.words[word])
+        frequent = often[context]
+        part = np.where(frequent, key % parts, place_of[context]).astype(np.int64)
+        # Contexts ascend already; a stable sort of small numbers takes linear time.
+        order = np.argsort((frequent * model.parts + part).astype(np.min_scalar_type(2 * model.parts)), kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.context, self.word, self.lower, self.key, self.seen, self.frequent, self.part, self.of_token = context[order], word[order], lower[order], key[order], seen[order], frequent[order], part[order], back[inverse]
+        self.context, self.word, self.lower, self.key, self.seen, self.frequent, self.part, self.of_token = context[order], word[order], lower[order], key[order], count[context][order], frequent[order], part[order], back[inverse]
         self.head = hashes[self.context]
-        self.runs = np.flatnonzero(np.append(True, (self.context[1:] != self.context[:-1]) | (self.frequent[1:] != self.frequent[:-1]) | (self.frequent[1:] & (self.part[1:] != self.part[:-1]))))
+        self.runs = np.flatnonzero(np.append(True, (self.context[1:] != self.context[:-1]) | (self.frequent[1:] != self.frequent[:-1]) | (self.frequent[1:] & (self.part[1:] != self.part[:-1])))[: len(self.context)])
+
+    @staticmethod
+    def hashed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 class Chunk:
     """A chunk row and, if given, the answers to it."""
 
-    def __init__(self, table: pa.Table):
-        found = table.to_pylist()
-        row = next(r for r in found if r["kind"] == CHUNK)
+    def __init__(self, table: pa.Table, answers: pa.Table | None = None):
+        (row,) = table.to_pylist()
         self.id = row["chunk"]
         self.words = np.frombuffer(row["x"], np.uint64)
         (self.place,) = unpack(row["y"], np.int32)
@@ -206,7 +240,7 @@ class Chunk:
         self.own = np.arange(len(self.place)) - starts[self.doc] >= lead[self.doc]
         self.training = self.own & (fold[self.doc] == 1)
         self.answers: dict[tuple[int, int | None], list[dict]] = {}
-        for r in sorted((r for r in found if r["kind"] != CHUNK), key=lambda r: r["part"] or 0):
+        for r in sorted(answers.to_pylist() if answers else [], key=lambda r: r["part"] or 0):
             self.answers.setdefault((r["kind"], r["level"]), []).append(r)
 
     def training_counts(self, codes: np.ndarray, width: int) -> np.ndarray:
@@ -286,24 +320,20 @@ def deal_grams(model: Model, order: int, turn: int):
     probabilities one order below (0 where this chunk has not trained on the n-gram) and the contexts' hashes."""
     turns = TURNS.get(order, 6)
 
-    def run(table: pa.Table) -> pa.Table:
-        c = Chunk(table)
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(table, answers)
         below, counts, p = c.up_to(model, order - 1)
-        g = Grams(c, below, counts, model)
-        n = c.training_counts(g.of_token, len(g.key)).astype(np.int64)
+        g = Grams(c, below, counts, model, turn, turns)
+        n = np.bincount(g.of_token[c.training[g.tokens]], minlength=len(g.key)).astype(np.int64)
         lower = np.where(n > 0, p[g.lower], 0.0)
-        out, wanted = [], {}
-        starts = np.flatnonzero(np.append(True, (g.part[1:] != g.part[:-1]) | (g.frequent[1:] != g.frequent[:-1])))
-        for a, b in zip(starts, np.append(starts[1:], len(g.key)), strict=True):
-            if g.part[a] % turns != turn:
-                continue
+        out = []
+        starts = np.flatnonzero(np.append(True, (g.part[1:] != g.part[:-1]) | (g.frequent[1:] != g.frequent[:-1]))[: len(g.key)])
+        for a, b in zip(starts, np.append(starts, len(g.key))[1:], strict=True):
             begin = g.runs[np.searchsorted(g.runs, a) : np.searchsorted(g.runs, b)]
             heads, lengths = g.head[begin], np.diff(np.append(begin, b))
             out.append((c.id, FREQUENT if g.frequent[a] else GRAMS, order, int(g.part[a]), None, g.key[a:b].tobytes(), pack(n[a:b], lengths), pack(lower[a:b].view(np.uint64), heads)))
-        if turn == 0:
-            for h in np.unique(g.head[g.frequent]).view(np.int64).tolist():
-                wanted.setdefault(0, []).append(h)
-        out += [(c.id, WANTED, order, part, hashes, None, None, None) for part, hashes in wanted.items()]
+        if len(g.wanted):
+            out.append((c.id, WANTED, order, 0, g.wanted.view(np.int64).tolist(), None, None, None))
         return rows(out)
 
     return run
@@ -318,16 +348,15 @@ def add_grams(order: int):
         others = [unpack(r["z"], np.uint64, 2) for r in found]
         heads, head_of = np.unique(np.concatenate([h for _, h in others]), return_inverse=True)
         head_of_gram = np.repeat(head_of, np.concatenate([lengths for _, lengths in numbers]))
-        known, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.rint(np.bincount(inverse, np.concatenate([n for n, _ in numbers]), len(known))).astype(np.int64)
-        lower = np.zeros(len(known))
-        np.maximum.at(lower, inverse, np.concatenate([p for p, _ in others]).view(np.float64))  # the same in all chunks that have it
+        order_, first = distinct(np.concatenate(keys))
+        total = np.add.reduceat(np.concatenate([n for n, _ in numbers])[order_], first)
+        lower = np.maximum.reduceat(np.concatenate([p for p, _ in others]).view(np.float64)[order_], first)  # the same in all chunks that have it
         seen = np.flatnonzero(total)
-        head, c = head_of_gram[first[seen]], total[seen]
+        head, c = head_of_gram[order_[first[seen]]], total[seen]
         few = [np.bincount(head[c == j], minlength=len(heads)) for j in range(1, KATZ + 1)]
         more = np.rint(np.bincount(head, np.where(c > KATZ, c, 0), len(heads))).astype(np.int64)
         mass = np.bincount(head, lower[seen], len(heads))
-        out, at, at_head, answer = [], 0, 0, total[inverse]
+        out, at, at_head, answer = [], 0, 0, total[numbered(order_, first)]
         for r, k, (_, lengths), (_, x) in zip(found, keys, numbers, others, strict=True):
             own, n = head_of[at_head : at_head + len(x)], answer[at : at + len(k)]
             if frequent:
@@ -371,8 +400,8 @@ RESULT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 
 def evaluate(model: Model, order: int):
-    def run(table: pa.Table) -> pa.Table:
-        c = Chunk(table)
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(table, answers)
         grams, _, p = c.up_to(model, order)
         of_token, docs, own = c.place if grams is None else grams.of_token, len(c.sizes), c.own
         doc, n = c.doc[own], c.word_counts()[c.place][own]
@@ -387,8 +416,12 @@ def evaluate(model: Model, order: int):
 
 def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    with bucketed(chunks(documents, order), "chunk") as told:
+        return _score(documents, told, order)
+
+
+def _score(documents: DataFrame, told: DataFrame, order: int) -> DataFrame:
     spark = documents.sparkSession
-    told = materialize(chunks(documents, order))
     sizes = told.select(F.count("*").alias("chunks"), F.sum(F.octet_length("x")).alias("bytes")).first()
     if not sizes["chunks"]:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -398,20 +431,24 @@ def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
     made = materialize(deal_words(told, parts).groupBy("part").applyInArrow(add_words, ROW))
     sums = _sums(made, KATZ + 3)
     model = Model(WordModel.of(int(sums[0]), int(sums[1]), texts, np.append(0, sums[2:])), parts)
-    whole = told.unionAll(made.where(f"kind = {WORD_ANSWER}"))
+    answers = made.where(f"kind = {WORD_ANSWER}")
+
+    def of_chunks(f, schema: str) -> DataFrame:
+        """``f`` of each chunk and its answers. The chunks lie in buckets, so only answers are shuffled."""
+        return told.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
+
     for level in range(2, order + 1):
         turns, sums = [], np.zeros(KATZ + 1, np.int64)
         for turn in range(TURNS.get(level, 6)):
-            turns.append(materialize(whole.groupBy("chunk").applyInArrow(deal_grams(model, level, turn), ROW).groupBy("part").applyInArrow(add_grams(level), ROW)))
+            turns.append(materialize(of_chunks(deal_grams(model, level, turn), ROW).groupBy("part").applyInArrow(add_grams(level), ROW)))
             sums = sums + _sums(turns[-1])
         model.d[level] = discounts(np.append(0, sums))
         made = turns[0]
         for t in turns[1:]:
             made = made.unionAll(t)
         numbers = materialize(numbers_of_contexts(made))
-        whole = whole.unionAll(made.where(F.col("kind").isin(ANSWER, FREQUENT_ANSWER))).unionAll(numbers)
-    pieces = materialize(whole.groupBy("chunk").applyInArrow(evaluate(model, order), RESULT))
-    discard(told)
+        answers = answers.unionAll(made.where(F.col("kind").isin(ANSWER, FREQUENT_ANSWER))).unionAll(numbers)
+    pieces = materialize(of_chunks(evaluate(model, order), RESULT))
     return pieces.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.lit(model.words.n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
