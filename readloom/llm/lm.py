@@ -12,7 +12,7 @@ what is left over the lower probability of all words not seen there. A context w
 
 Tables are partitioned and grow with the corpus; only sums go to the driver.
 
-* Chunks (about 8 MB of text): the distinct words' 64-bit hashes and each token's place among them. A text longer than a
+* Chunks (about 6 MB of text): the distinct words' 64-bit hashes and each token's place among them. A text longer than a
   chunk goes on in the next, which begins with the words that its first contexts need.
 * Word table: every chunk deals its distinct words and their training counts to parts by hash; a part adds them up and
   answers each chunk.
@@ -44,7 +44,7 @@ from .common import bucketed, crc_fold, in_steps, materialize, utf8
 from .textops import Words, mix, without_long_words, word_spans
 
 FOLDS, HELD_OUT, ORDER = 5, 1, 3
-CHUNK_BYTES, TOKENS_PER_PART, KATZ = 8 << 20, 2_000_000, 5
+CHUNK_BYTES, TOKENS_PER_PART, KATZ = 6 << 20, 1_000_000, 5
 #: An order's n-grams are dealt in so many turns, each with its share of the parts: that much less of them moves at a time.
 TURNS = {2: 3, 3: 6}
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3C2B1B)
@@ -71,6 +71,18 @@ def rows(found: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 8, SCHEMA.types, strict=True)], schema=SCHEMA)
 
 
+def listed(table: pa.Table) -> list[dict]:
+    """The rows; binary values are not copied."""
+    columns = [[v.as_buffer() for v in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in table.columns]
+    return [dict(zip(table.column_names, r, strict=True)) for r in zip(*columns, strict=True)]
+
+
+def freed(out: pa.Table) -> pa.Table:
+    """A group's result, once memory that Arrow keeps for later went back: two workers share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """d[c] for c of 0 to KATZ (d[0] unused), from counts of counts n[1..KATZ + 1]."""
     d, n = np.ones(KATZ + 1), n.astype(float)
@@ -196,12 +208,12 @@ class Grams:
         parts = np.uint64(model.parts)
         self.tokens, self.wanted = np.arange(len(place)), np.zeros(0, np.uint64)
         if turns > 1:
+            after = np.flatnonzero(often[before])
             if turn == 0:
-                self.wanted = np.unique(hashes[np.unique(before[often[before]])])
-            part = place_of[before]
-            rare = np.flatnonzero(often[before])
-            part[rare] = self.hashed(hashes[before[rare]], chunk.words[place[rare]]) % parts
-            self.tokens = np.flatnonzero(part % np.uint64(turns) == turn)
+                self.wanted = np.unique(hashes[np.unique(before[after])])
+            mine = (place_of % np.uint64(turns) == turn)[before]
+            mine[after] = self.hashed(hashes[before[after]], chunk.words[place[after]]) % parts % np.uint64(turns) == turn
+            self.tokens = np.flatnonzero(mine)
         order, first = distinct(before[self.tokens] * width + place[self.tokens])
         at = self.tokens[order[first]]
         inverse = numbered(order, first)
@@ -226,7 +238,7 @@ class Chunk:
     """A chunk row and, if given, the answers to it."""
 
     def __init__(self, table: pa.Table, answers: pa.Table | None = None):
-        (row,) = table.to_pylist()
+        (row,) = listed(table)
         self.id = row["chunk"]
         self.words = np.frombuffer(row["x"], np.uint64)
         (self.place,) = unpack(row["y"], np.int32)
@@ -240,7 +252,7 @@ class Chunk:
         self.own = np.arange(len(self.place)) - starts[self.doc] >= lead[self.doc]
         self.training = self.own & (fold[self.doc] == 1)
         self.answers: dict[tuple[int, int | None], list[dict]] = {}
-        for r in sorted(answers.to_pylist() if answers else [], key=lambda r: r["part"] or 0):
+        for r in sorted(listed(answers) if answers else [], key=lambda r: r["part"] or 0):
             self.answers.setdefault((r["kind"], r["level"]), []).append(r)
 
     def training_counts(self, codes: np.ndarray, width: int) -> np.ndarray:
@@ -305,7 +317,7 @@ def deal_words(table: DataFrame, parts: int) -> DataFrame:
 
 def add_words(table: pa.Table) -> pa.Table:
     """A part's words added up; an answer for each chunk; the part's sums."""
-    found = table.to_pylist()
+    found = listed(table)
     keys = [np.frombuffer(r["x"], np.uint64) for r in found]
     known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.rint(np.bincount(inverse, np.concatenate([unpack(r["y"], np.int64)[0] for r in found]), len(known))).astype(np.int64)
@@ -372,7 +384,7 @@ def add_grams(order: int):
         return out, np.array([(total == j).sum() for j in range(1, KATZ + 2)], np.int64)
 
     def run(table: pa.Table) -> pa.Table:
-        found, sums = table.to_pylist(), np.zeros(KATZ + 1, np.int64)
+        found, sums = listed(table), np.zeros(KATZ + 1, np.int64)
         out = [tuple(r[k] for k in SCHEMA.names) for r in found if r["kind"] == WANTED]
         for kind in (GRAMS, FREQUENT):
             if own := [r for r in found if r["kind"] == kind]:
@@ -428,19 +440,24 @@ def _score(documents: DataFrame, told: DataFrame, order: int) -> DataFrame:
     texts = documents.where(crc_fold("doc_id", FOLDS) != HELD_OUT).count()
     # Distinct words of all chunks are about a quarter of the tokens.
     parts = max(16, -(-(sizes["bytes"] // 2) // TOKENS_PER_PART))
-    made = materialize(deal_words(told, parts).groupBy("part").applyInArrow(add_words, ROW))
+    made = materialize(deal_words(told, parts).groupBy("part").applyInArrow(lambda part: freed(add_words(part)), ROW))
     sums = _sums(made, KATZ + 3)
     model = Model(WordModel.of(int(sums[0]), int(sums[1]), texts, np.append(0, sums[2:])), parts)
     answers = made.where(f"kind = {WORD_ANSWER}")
 
+    def added(level: int):
+        add = add_grams(level)
+        return lambda part: freed(add(part))
+
     def of_chunks(f, schema: str) -> DataFrame:
         """``f`` of each chunk and its answers. The chunks lie in buckets, so only answers are shuffled."""
-        return told.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
+        return told.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda chunk, got: freed(f(chunk, got)), schema)
 
     for level in range(2, order + 1):
         turns, sums = [], np.zeros(KATZ + 1, np.int64)
         for turn in range(TURNS.get(level, 6)):
-            turns.append(materialize(of_chunks(deal_grams(model, level, turn), ROW).groupBy("part").applyInArrow(add_grams(level), ROW)))
+            dealt = of_chunks(deal_grams(model, level, turn), ROW)
+            turns.append(materialize(dealt.groupBy("part").applyInArrow(added(level), ROW)))
             sums = sums + _sums(turns[-1])
         model.d[level] = discounts(np.append(0, sums))
         made = turns[0]
