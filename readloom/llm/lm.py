@@ -46,7 +46,7 @@ from .textops import Words, mix, without_long_words, word_spans
 FOLDS, HELD_OUT, ORDER = 5, 1, 3
 CHUNK_BYTES, TOKENS_PER_PART, KATZ = 6 << 20, 1_000_000, 5
 #: An order's n-grams are dealt in so many turns, each with its share of the parts: that much less of them moves at a time.
-TURNS = {2: 3, 3: 6}
+TURNS = {2: 2, 3: 5}
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3C2B1B)
 #: Kinds of rows. Chunks; their words for the parts; answers; n-grams of ordinary and frequent contexts; answers; what a part
 #: knows of a frequent context; frequent contexts of a chunk; a frequent context's numbers; sums.
