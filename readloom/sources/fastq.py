@@ -2,7 +2,8 @@
 
 A quality line may begin with '@', so a split can't find a record by looking at it. Plain files are read in two passes:
 Spark tasks count the line ends of every byte range; their running sums tell each range the number of its first line, and
-with it where records begin and what their place in the file is. Gzip files can't be split and are a task each.
+with it where records begin and what their place in the file is. Neighbouring ranges share a task. Gzip files can't be split and are
+a task each.
 
 Carriage returns go; line ends at a file's end are no lines; an incomplete last record is dropped. Bytes are taken as
 Latin-1 (validation lets only ASCII pass), so what is rejected can be written as it was.
@@ -10,6 +11,7 @@ Latin-1 (validation lets only ASCII pass), so what is rejected can be written as
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import logging
 import zlib
@@ -25,19 +27,19 @@ from readloom.sources import files
 
 RANGE, ROWS = 64 << 20, 20_000
 SCHEMA = "input_id long, mate int, ordinal long, header string, seq string, plus string, qual string"
+_RANGE = "input_id: long, mate: int, path: string, start: long, end: long, content: long, lines: long"
 _FIELDS = ("input_id", "mate", "ordinal", "header", "seq", "plus", "qual")
 _TYPES = (pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 4)
 log = logging.getLogger(__name__)
 
 
-def count_lines(path: str, start: int, end: int) -> int:
+def count_lines(f: BinaryIO, start: int, end: int) -> int:
     n = 0
-    with files.open_raw(path) as f:
-        f.seek(start)
-        left = end - start
-        while left and (block := f.read(min(left, 1 << 20))):
-            n += block.count(b"\n")
-            left -= len(block)
+    f.seek(start)
+    left = end - start
+    while left and (block := f.read(min(left, 1 << 20))):
+        n += block.count(b"\n")
+        left -= len(block)
     return n
 
 
@@ -79,18 +81,24 @@ class _Until:
             self.left -= len(raw)
 
 
-def range_records(path: str, start: int, end: int, lines_before: int, content_end: int) -> Iterator[tuple[int, list[str]]]:
+def range_records(f: BinaryIO, start: int, end: int, lines_before: int, content_end: int) -> Iterator[tuple[int, list[str]]]:
     """Records of a plain file that begin in a range; ``lines_before``: line ends before ``start``."""
-    with files.open_raw(path) as f:
-        if start == 0:
-            yield from records(_Until(f, content_end), 0, 0, 0, end)
-            return
-        f.seek(start - 1)
-        skipped = f.readline()  # up to the first line that begins in the range
-        at = start - 1 + len(skipped)
-        first = lines_before if skipped == b"\n" else lines_before + 1
-        if at < min(end, content_end):
-            yield from records(_Until(f, content_end - at), at, first, start, end)
+    f.seek(max(0, start - 1))
+    if start == 0:
+        yield from records(_Until(f, content_end), 0, 0, 0, end)
+        return
+    skipped = f.readline()  # up to the first line that begins in the range
+    at = start - 1 + len(skipped)
+    first = lines_before if skipped == b"\n" else lines_before + 1
+    if at < min(end, content_end):
+        yield from records(_Until(f, content_end - at), at, first, start, end)
+
+
+def ranges_records(ranges: list[dict]) -> Iterator[tuple[int, list[str]]]:
+    """Records of several ranges of one file, which is opened once."""
+    with files.open_raw(ranges[0]["path"]) as f:
+        for r in ranges:
+            yield from range_records(f, r["start"], r["end"], r["lines"], r["content"])
 
 
 def _without_tail(f: BinaryIO) -> Iterator[bytes]:
@@ -111,45 +119,77 @@ def batches(found: Iterator[tuple[int, list[str]]], input_id: int, mate: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], list(_FIELDS))
 
 
-def read_fastq(spark: SparkSession, inputs: list[tuple[int, int, str]], range_bytes: int = RANGE) -> DataFrame:
-    """Rows of SCHEMA from (input_id, mate, path) triples; ``ordinal`` is a record's place in its file."""
+def _tasks(ranges: list[tuple], least: int, cores: int) -> list[int]:
+    """The task of each range: neighbours share one up to RANGE bytes, or less if cores would idle. A packed file is a task."""
+    most = max(least, min(RANGE, -(-sum(r[4] - r[3] for r in ranges if r[4] >= 0) // (2 * cores))))
+    out, task, size = [], -1, 0
+    for _, _, _, start, end, _ in ranges:
+        if not out or end < 0 or size < 0 or size + end - start > most:
+            task, size = task + 1, 0
+        size = -1 if end < 0 else size + end - start
+        out.append(task)
+    return out
+
+
+def read_fastq(spark: SparkSession, inputs: list[tuple[int, int, str]], range_bytes: int = RANGE, first: int | None = None) -> DataFrame:
+    """Rows of SCHEMA from (input_id, mate, path) triples; ``ordinal`` is a record's place in its file.
+
+    With ``first``, the records at places below it; a task a file reads up to there.
+    """
     ranges = []
     for input_id, mate, path in inputs:
         if files.is_gzip(path):
             ranges.append((input_id, mate, path, 0, -1, -1))
             continue
         end = files.end_of_content(path)
-        ranges += [(input_id, mate, path, a, min(a + range_bytes, end), end) for a in range(0, end, range_bytes)]
-    schema = "input_id long, mate int, path string, start long, end long, content long"
+        step = range_bytes if first is None else max(end, 1)
+        ranges += [(input_id, mate, path, a, min(a + step, end), end) for a in range(0, end, step)]
     if not ranges:
         return spark.createDataFrame([], SCHEMA)
+    tasks = _tasks(ranges, range_bytes, spark.sparkContext.defaultParallelism) if first is None else list(range(len(ranges)))
 
-    def count(parts):
+    def deal(placed: list[tuple]) -> DataFrame:
+        """A row, and a partition, a task."""
+        rows = [(t, [r for _, r in own]) for t, own in itertools.groupby(zip(tasks, placed, strict=True), key=lambda x: x[0])]
+        return spark.createDataFrame(rows, f"task int, ranges array<struct<{_RANGE}>>").repartitionByRange(len(rows), "task")
+
+    def of_files(parts) -> Iterator[list[dict]]:
+        """A task's ranges of one file."""
         for batch in parts:
-            c = batch.to_pydict()
-            n = [0 if e < 0 else count_lines(p, s, e) for p, s, e in zip(c["path"], c["start"], c["end"], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n"])
+            for found in batch.column(1).to_pylist():
+                for _, own in itertools.groupby(found, key=lambda r: (r["input_id"], r["mate"], r["path"])):
+                    yield list(own)
 
-    several = len(ranges) > len(inputs)
-    told = spark.createDataFrame(ranges, schema).repartition(len(ranges), "path", "start").mapInArrow(count, schema + ", n long").collect() if several else [(*r, 0) for r in ranges]
-    before: dict[str, int] = {}
+    def count(parts):
+        for group in of_files(parts):
+            if group[0]["end"] < 0:
+                continue
+            with files.open_raw(group[0]["path"]) as f:
+                n = [count_lines(f, r["start"], r["end"]) for r in group]
+            told = [(r["input_id"], r["mate"], r["path"], r["start"], k) for r, k in zip(group, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*told, strict=True)], ["input_id", "mate", "path", "start", "n"])
+
+    counted: dict[tuple, int] = {}
+    if len(ranges) > len(inputs):
+        told = deal([(*r, 0) for r in ranges]).mapInArrow(count, "input_id long, mate long, path string, start long, n long")
+        counted = {tuple(r)[:4]: r["n"] for r in told.collect()}
+    before: dict[tuple, int] = {}
     placed = []
-    for input_id, mate, path, start, end, content, n in sorted(map(tuple, told), key=lambda r: (r[0], r[1], r[2], r[3])):
-        key = f"{input_id}/{mate}/{path}"
-        placed.append((input_id, mate, path, start, end, content, before.get(key, 0)))
-        before[key] = before.get(key, 0) + n
+    for r in ranges:
+        placed.append((*r, before.get(r[:3], 0)))
+        before[r[:3]] = before.get(r[:3], 0) + counted.get(r[:4], 0)
 
     def read(parts):
-        for batch in parts:
-            for r in batch.to_pylist():
+        for group in of_files(parts):
+            r = group[0]
+            with contextlib.ExitStack() as opened:
                 if r["end"] < 0:
-                    with files.open_text(r["path"]) as f:
-                        yield from batches(records(_without_tail(f), 0, 0, 0, None), r["input_id"], r["mate"])
+                    found = records(_without_tail(opened.enter_context(files.open_text(r["path"]))), 0, 0, 0, None)
                 else:
-                    yield from batches(range_records(r["path"], r["start"], r["end"], r["lines"], r["content"]), r["input_id"], r["mate"])
+                    found = ranges_records(group)
+                yield from batches(itertools.islice(found, first), r["input_id"], r["mate"])
 
-    dealt = spark.createDataFrame(placed, schema + ", lines long").withColumn("k", F.monotonically_increasing_id()).repartitionByRange(len(placed), "input_id", "mate", "path", "start").drop("k")
-    return dealt.mapInArrow(read, SCHEMA)
+    return deal(placed).mapInArrow(read, SCHEMA)
 
 
 class _FilePartition(InputPartition):

@@ -40,6 +40,17 @@ def test_split_anywhere(spark, tmp_path, range_bytes, end, tail):
     assert rows(fastq.read_fastq(spark, [(0, 0, path)], range_bytes)) == [(i, *r) for i, r in enumerate(records)]
 
 
+def test_neighbouring_ranges_share_tasks(spark, tmp_path):
+    one, two = (make(n, "s", n) + [("@last", "ACGT", "+", "IIII")] for n in (300, 200))
+    paths = [write(tmp_path / "a.fastq", one), write(tmp_path / "b.fastq", two)]
+    packed = tmp_path / "c.fastq"
+    packed.write_bytes(gzip.compress("".join("\n".join(r) + "\n" for r in two).encode()))
+    df = fastq.read_fastq(spark, [(0, 0, paths[0]), (1, 1, paths[1]), (1, 2, str(packed))], 64)
+    assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 3
+    for input_id, mate, records in ((0, 0, one), (1, 1, two), (1, 2, two)):
+        assert rows(df.where(f"input_id = {input_id} AND mate = {mate}")) == [(i, *r) for i, r in enumerate(records)]
+
+
 def test_gzip_by_content_and_members(spark, tmp_path):
     records = make(50)
     text = ["".join("\n".join(r) + "\n" for r in part).encode() for part in (records[:20], records[20:])]
