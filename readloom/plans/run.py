@@ -62,28 +62,28 @@ def _offset_column(items: list[Item]) -> Column:
     return known[F.concat_ws("/", F.col("input_id").cast("string"), F.col("mate").cast("string"))]
 
 
-def load(spark: SparkSession, items: list[Item], range_bytes: int = fastq.RANGE) -> tuple[DataFrame | None, DataFrame | None]:
-    """Unpaired reads, and pairs in one row."""
+def load(spark: SparkSession, items: list[Item], range_bytes: int = fastq.RANGE, first: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Unpaired reads, and pairs in one row; with ``first``, those at places below it."""
     alone = [i for i in items if i.kind == "unpaired"]
     mixed = [i for i in items if i.kind == "interleaved"]
     double = [i for i in items if i.kind == "paired"]
     unpaired = couples = None
     if alone:
-        unpaired = fastq.read_fastq(spark, [(i.number, 0, i.files[0]) for i in alone], range_bytes).withColumn("offset", _offset_column(alone))
+        unpaired = fastq.read_fastq(spark, [(i.number, 0, i.files[0]) for i in alone], range_bytes, first).withColumn("offset", _offset_column(alone))
     mates = []
     if mixed:
-        mates.append(pairs.interleaved(fastq.read_fastq(spark, [(i.number, 0, i.files[0]) for i in mixed], range_bytes)))
+        mates.append(pairs.interleaved(fastq.read_fastq(spark, [(i.number, 0, i.files[0]) for i in mixed], range_bytes, None if first is None else 2 * first)))
     if double:
-        mates.append(fastq.read_fastq(spark, [(i.number, m, f) for i in double for m, f in enumerate(i.files, 1)], range_bytes))
+        mates.append(fastq.read_fastq(spark, [(i.number, m, f) for i in double for m, f in enumerate(i.files, 1)], range_bytes, first))
     if mates:
         rows = mates[0] if len(mates) == 1 else mates[0].unionByName(mates[1])
         couples = pairs.aligned(rows.withColumn("offset", _offset_column(mixed + double)))
     return unpaired, couples
 
 
-def _limited(df: DataFrame | None, cfg: TrimConfig, threads: int) -> DataFrame | None:
+def first_of(cfg: TrimConfig, threads: int) -> int | None:
     """A test run takes the first chunks of each input, by place."""
-    return df.where(F.col("ordinal") < threads * cfg.chunk_size) if df is not None and cfg.testrun else df
+    return threads * cfg.chunk_size if cfg.testrun else None
 
 
 def outputs(items: list[Item], cfg: TrimConfig) -> dict[int, list[str]]:
@@ -185,7 +185,7 @@ def run(spark: SparkSession, cfg: TrimConfig, inputs: Inputs, folder: str | None
     items = plan_items(inputs, cfg)
     if not items:
         raise ValueError("no input")
-    unpaired, couples = (_limited(x, cfg, threads) for x in load(spark, items, range_bytes))
+    unpaired, couples = load(spark, items, range_bytes, first_of(cfg, threads))
     # Read by the writer and the statistics: written once, so files are parsed and modules evaluated once, whatever executor goes.
     kept: list[str] = []
 

@@ -473,7 +473,7 @@ _loaded = """u as (select 's0' stem, 'unpaired' kind, pos ordinal, 0 mate, heade
 def _loaded_rows(spark: SparkSession, sf_dir: str, cfg: TrimConfig, threads: int = 1) -> DataFrame:
     """stem, kind, ordinal, mate, header, seq, offset of what a run reads."""
     items = run.plan_items(_inputs(spark, sf_dir), cfg)
-    unpaired, couples = (run._limited(x, cfg, threads) for x in run.load(spark, items, 1 << 16))
+    unpaired, couples = run.load(spark, items, 1 << 16, run.first_of(cfg, threads))
     known = spark.createDataFrame([(i.number, i.stem, i.kind) for i in items], "input_id long, stem string, kind string")
     mates = couples.select("input_id", "ordinal", F.explode(F.array(*(F.struct(F.lit(m).alias("mate"), *(F.col(p + c).alias(c) for c in ("header", "seq", "offset"))) for m, p in ((1, "a_"), (2, "b_"))))).alias("x"))
     rows = unpaired.select("input_id", "ordinal", "mate", "header", "seq", "offset").unionByName(mates.select("input_id", "ordinal", "x.*"))

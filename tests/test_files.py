@@ -7,7 +7,7 @@ import pytest
 
 from readloom import cli
 from readloom.plans.config import TrimConfig
-from readloom.plans.run import Inputs, run
+from readloom.plans.run import Inputs, first_of, load, plan_items, run
 from readloom.sources import discover, fastq, files
 
 
@@ -51,6 +51,21 @@ def test_neighbouring_ranges_share_tasks(spark, tmp_path):
         assert rows(df.where(f"input_id = {input_id} AND mate = {mate}")) == [(i, *r) for i, r in enumerate(records)]
 
 
+def test_first_records_are_read_alone(spark, tmp_path):
+    """A test run ends with its chunks: it reads no more of a file, so what comes later can't stop it."""
+    records = [(f"@r:{i}", "ACGT", "+", "IIII") for i in range(90)]
+    a, b = write(tmp_path / "x_R1.fastq", records), write(tmp_path / "x_R2.fastq", records[:50])
+    mixed = write(tmp_path / "y.fastq", records[:41])
+    packed = tmp_path / "z.fastq"
+    packed.write_bytes(gzip.compress("".join("\n".join(r) + "\n" for r in records[:40]).encode()))
+    cfg = TrimConfig(testrun=True, chunk_size=10)
+    items = plan_items(Inputs([str(packed)], [(a, b)], [mixed]), cfg)
+    unpaired, couples = load(spark, items, 64, first_of(cfg, 2))
+    assert rows(unpaired) == [(i, *r) for i, r in enumerate(records[:20])]
+    found = {(r["input_id"], r["ordinal"]): (r["a_header"], r["b_header"]) for r in couples.collect()}
+    assert found == {(1, i): (f"@r:{2 * i}", f"@r:{2 * i + 1}") for i in range(20)} | {(2, i): (f"@r:{i}",) * 2 for i in range(20)}
+
+
 def test_gzip_by_content_and_members(spark, tmp_path):
     records = make(50)
     text = ["".join("\n".join(r) + "\n" for r in part).encode() for part in (records[:20], records[20:])]
