@@ -98,8 +98,12 @@ def _fastq(spark: SparkSession, sf_dir: str) -> dict[str, str]:
             _name().alias("file"), F.when(F.col("input_id") == 1, 2 * F.col("ordinal") + F.col("mate")).otherwise(F.col("ordinal")).alias("ordinal"), "input_id",
             sequences.fastq_record(F.col("header"), F.col("seq"), F.col("plus"), F.col("qual")).alias("record"),
         )
-        fastq.write_files(rows.where("input_id <> 2"), folder, None, True)
-        fastq.write_files(rows.where("input_id = 2"), folder, 1, True)
+        rows, path = files.stored(rows)  # sampled and read for each of the sinks: the reads are derived once
+        try:
+            fastq.write_files(rows.where("input_id <> 2"), folder, None, True)
+            fastq.write_files(rows.where("input_id = 2"), folder, 1, True)
+        finally:
+            files.remove(spark, path)
         _folders[key] = folder
     return {n: f"{_folders[key]}/{n}.fastq" for n in ("s0", "s1", "s2_R1", "s2_R2", "s3_R1", "s3_R2")}
 

@@ -35,3 +35,20 @@ def test_query(spark, duck, sf_dir, name):
 
 def test_all_have_sql():
     assert set(SQL) == set(own.queries())
+
+
+def test_reads_of_files_are_derived_once(spark, sf_dir, monkeypatch, tmp_path):
+    reads = own._reads(spark, sf_dir)
+    folder = str(tmp_path)
+
+    def seen(batches):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    counted = reads.mapInArrow(seen, reads.schema)
+    monkeypatch.setattr(own, "_reads", lambda spark, sf_dir: counted)
+    monkeypatch.setattr(own, "_folders", {})
+    own._fastq(spark, sf_dir)
+    assert len(os.listdir(folder)) == reads.rdd.getNumPartitions()
