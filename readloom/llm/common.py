@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step of a vectorised loop works on. Longer texts are cut into spans (textops.spans).
 STEP_BYTES = 1 << 19
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Written tables are zstd without checksum files. On local disks Hadoop starts a chmod for each new file, and until that
+#: runs, its process shares, and is counted with, the JVM's whole memory; checksum files would double them.
+WRITTEN = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -84,7 +87,7 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.options(**WRITTEN)
     with brief_shuffles(spark):
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -100,7 +103,7 @@ def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
     path, name = shared_dir(spark), f"readloom_{uuid.uuid4().hex}"
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     with brief_shuffles(spark):
-        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(name)
+        df.write.options(**WRITTEN).option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

@@ -133,13 +133,14 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node reachable, for every node of an edge (a, b). Edges contract until none is left.
+    The edges are read several times, so they come as written tables.
 
     A hash orders the nodes; every round each takes the first of its neighbours and itself as parent, twice over, and what
     has a common parent becomes one. Stars are done in two rounds, and of a chain, in whatever order its ids come, at most the
     nodes that come before both neighbours are left.
     """
     labels = None
-    edges = materialize(edges.where("a <> b"))
+    edges = edges.where("a <> b")
     while not edges.isEmpty():
         either = edges.union(edges.select("b", "a")).toDF("node", "other")
 

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import io
+import os
 import random
 import re
 import struct
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 
 from readloom.llm import ann, media, neardup, quality, textops, toxicity, warc
-from readloom.llm.common import shared_dir, table
+from readloom.llm.common import bucketed, materialize, shared_dir, table
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -98,6 +99,16 @@ def test_components(spark):
     assert all(got[x] == root(x) for x in parent if x in got) and set(parent) - set(got) <= loops
 
 
+def test_written_tables_have_no_checksum_files(spark):
+    """Each file that is made on a local disk starts a process the JVM's size."""
+    rows = spark.range(100, numPartitions=4).selectExpr("id", "id % 7 AS k")
+    with bucketed(rows, "k") as told:
+        for out in (materialize(rows), told):
+            files = [f.removeprefix("file://") for f in out.inputFiles()]
+            assert files and not [f for path in files for f in os.listdir(os.path.dirname(path)) if f.endswith(".parquet.crc")]
+            assert sorted(r.id for r in out.collect()) == list(range(100))
+
+
 def test_near_duplicates_with_repeated_ids(docs):
     """Rows that share an id and not a text are different nodes; rows that repeat all are kept once by one_of_each."""
     base = [f"w{i}" for i in range(80)]
