@@ -21,7 +21,8 @@ Tables are partitioned and grow with the corpus; only sums go to the driver.
   context (more than 1 / (4 * parts) of all tokens) go by their own hash, so no context crowds a part; what parts know of it is
   added up and joined to the chunks that have it. A chunk sends at most one row a part and one an n-gram.
 * Chunks are written once, in buckets; what parts answer is shuffled to them, they are not shuffled themselves. A turn makes only
-  its own n-grams.
+  its own n-grams. Once an order below the last is answered, each chunk writes what it knows of it in the same buckets, and the
+  answers are deleted: the turns of the next order read that, and neither make nor shuffle lower orders again.
 * Every chunk then evaluates its tokens; what a text has in several chunks is added up.
 
 Null and empty texts consist of the end token. Rows with a null id are scored, not learned from. Repeated rows are each
@@ -31,8 +32,9 @@ hashing sees 512 KB at a time, and a step of the model one chunk.
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +42,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, crc_fold, in_steps, materialize, utf8
+from .common import bucketed, crc_fold, discard, in_steps, materialize, utf8
 from .textops import Words, mix, without_long_words, word_spans
 
 FOLDS, HELD_OUT, ORDER = 5, 1, 3
 CHUNK_BYTES, TOKENS_PER_PART, KATZ = 6 << 20, 1_000_000, 5
+#: N-grams whose probabilities are computed at a time.
+STEP = 1 << 16
 #: An order's n-grams are dealt in so many turns, each with its share of the parts: that much less of them moves at a time.
 TURNS = {2: 2, 3: 5}
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3C2B1B)
 #: Kinds of rows. Chunks; their words for the parts; answers; n-grams of ordinary and frequent contexts; answers; what a part
-#: knows of a frequent context; frequent contexts of a chunk; a frequent context's numbers; sums.
-CHUNK, WORDS, WORD_ANSWER, GRAMS, FREQUENT, ANSWER, FREQUENT_ANSWER, CONTEXT, WANTED, NUMBERS, SUMS = range(11)
+#: knows of a frequent context; frequent contexts of a chunk; a frequent context's numbers; sums; an order that a chunk has.
+CHUNK, WORDS, WORD_ANSWER, GRAMS, FREQUENT, ANSWER, FREQUENT_ANSWER, CONTEXT, WANTED, NUMBERS, SUMS, KNOWN = range(12)
 ROW = "chunk long, kind int, level int, part int, ids array<long>, x binary, y binary, z binary"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("level", pa.int32()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 
@@ -187,6 +191,33 @@ def numbered(order: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclasses.dataclass
+class Known:
+    """An order that is answered: each token's n-gram, the n-grams' hashes and training counts, and probabilities of those asked
+    for. From order 2 on also the contexts' scales and backoff weights (the order below's numbers, then BEGIN)."""
+
+    of_token: np.ndarray
+    key: np.ndarray
+    n: np.ndarray
+    p: Callable[[np.ndarray], np.ndarray]
+    scale: np.ndarray | None = None
+    weight: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, model: Model, order: int, below: Known, of_token: np.ndarray, key: np.ndarray, n: np.ndarray, context: np.ndarray, lower: np.ndarray, scale: np.ndarray, weight: np.ndarray) -> Known:
+        """context, lower: the n-grams' numbers one order below, without their last and first words."""
+        d, seen = model.d[order], np.append(below.n, model.words.texts)
+
+        def p(at: np.ndarray) -> np.ndarray:
+            c, m = context[at], n[at]
+            out = scale[c] * d[np.where(m <= KATZ, m, 0)] * m / np.maximum(seen[c], 1)
+            off = np.flatnonzero(m == 0)
+            out[off] = weight[c[off]] * below.p(lower[at[off]])
+            return out
+
+        return cls(of_token, key, n, p, scale, weight)
+
+
 class Grams:
     """The distinct n-grams of a chunk, in the order in which parts see them, or those of a turn's parts.
 
@@ -195,25 +226,22 @@ class Grams:
     wanted: hashes of all frequent contexts (first turn only).
     """
 
-    def __init__(self, chunk: Chunk, below: Grams | None, counts: np.ndarray, model: Model, turn: int = 0, turns: int = 1):
-        place, first = chunk.place, chunk.begins
-        of_token, hashes = (place, chunk.words) if below is None else (below.of_token, below.key)
-        n, width = len(hashes), len(chunk.words)
-        before = np.empty(len(place), np.int64)
-        before[1:] = of_token[:-1]
-        before[first] = n  # each text begins after BEGIN
-        hashes, count = np.append(hashes, BEGIN), np.append(counts, model.words.texts)
+    def __init__(self, chunk: Chunk, below: Known, model: Model, turn: int | None = None, turns: int = 1):
+        place, of_token, width = chunk.place, below.of_token, len(chunk.words)
+        before = chunk.before(below)
+        hashes, count = np.append(below.key, BEGIN), np.append(below.n, model.words.texts)
         often = count * 4 * model.parts > model.words.n
         place_of = mix(hashes) % np.uint64(model.parts)
         parts = np.uint64(model.parts)
         self.tokens, self.wanted = np.arange(len(place)), np.zeros(0, np.uint64)
-        if turns > 1:
+        if turn is not None:
             after = np.flatnonzero(often[before])
             if turn == 0:
                 self.wanted = np.unique(hashes[np.unique(before[after])])
-            mine = (place_of % np.uint64(turns) == turn)[before]
-            mine[after] = self.hashed(hashes[before[after]], chunk.words[place[after]]) % parts % np.uint64(turns) == turn
-            self.tokens = np.flatnonzero(mine)
+            if turns > 1:
+                mine = (place_of % np.uint64(turns) == turn)[before]
+                mine[after] = self.hashed(hashes[before[after]], chunk.words[place[after]]) % parts % np.uint64(turns) == turn
+                self.tokens = np.flatnonzero(mine)
         order, first = distinct(before[self.tokens] * width + place[self.tokens])
         at = self.tokens[order[first]]
         inverse = numbered(order, first)
@@ -245,12 +273,12 @@ class Chunk:
         self.sizes, lead, fold, begins = unpack(row["z"], np.int32, 4)
         self.ids, self.numbers = row["ids"][: len(self.sizes)], row["ids"][len(self.sizes) :]
         self.fold = fold
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.begins = starts
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         #: Tokens that count; the others are there as context.
-        self.own = np.arange(len(self.place)) - starts[self.doc] >= lead[self.doc]
-        self.training = self.own & (fold[self.doc] == 1)
+        self.own = np.ones(len(self.place), bool)
+        for i in np.flatnonzero(lead):
+            self.own[self.begins[i] : self.begins[i] + lead[i]] = False
+        self.training = self.own & np.repeat(fold == 1, self.sizes)
         self.answers: dict[tuple[int, int | None], list[dict]] = {}
         for r in sorted(listed(answers) if answers else [], key=lambda r: r["part"] or 0):
             self.answers.setdefault((r["kind"], r["level"]), []).append(r)
@@ -258,16 +286,24 @@ class Chunk:
     def training_counts(self, codes: np.ndarray, width: int) -> np.ndarray:
         return np.bincount(codes[self.training], minlength=width)
 
-    def word_counts(self) -> np.ndarray:
-        return np.concatenate([unpack(r["x"], np.int64)[0] for r in self.answers[WORD_ANSWER, None]])
+    def before(self, below: Known) -> np.ndarray:
+        """Each token's context; each text begins after BEGIN."""
+        out = np.empty(len(self.place), np.int64)
+        out[1:] = below.of_token[:-1]
+        out[self.begins] = len(below.key)
+        return out
 
-    def up_to(self, model: Model, order: int) -> tuple[Grams | None, np.ndarray, np.ndarray]:
-        """The n-grams of an order, their training counts and probabilities, recursively from the words."""
+    def up_to(self, model: Model, order: int) -> Known:
+        """The n-grams of an order, recursively from the words."""
         if order == 1:
-            counts = self.word_counts()
-            return None, counts, model.words.p(counts)
-        below, counts, p = self.up_to(model, order - 1)
-        grams = Grams(self, below, counts, model)
+            n = np.concatenate([unpack(r["x"], np.int64)[0] for r in self.answers.get((KNOWN, 1)) or self.answers[WORD_ANSWER, None]])
+            return Known(self.place, self.words, n, lambda at: model.words.p(n[at]))
+        below = self.up_to(model, order - 1)
+        return self.read(model, order, below) if (KNOWN, order) in self.answers else self.answered(model, order, below)
+
+    def answered(self, model: Model, order: int, below: Known) -> Known:
+        """An order's n-grams from what parts answer."""
+        grams = Grams(self, below, model)
         n = np.concatenate([unpack(r["x"], np.int64)[0] for kind in (ANSWER, FREQUENT_ANSWER) for r in self.answers.get((kind, order), [])])
         few, more, mass = np.zeros((KATZ, len(grams.runs))), np.zeros(len(grams.runs)), np.zeros(len(grams.runs))
         plain = ~grams.frequent[grams.runs]
@@ -277,23 +313,52 @@ class Chunk:
                 few[j, plain] = np.concatenate([g[j] for g, _ in got])
             more[plain] = np.concatenate([g[KATZ] for g, _ in got])
             mass[plain] = np.concatenate([m for _, m in got])
-        known = {r["ids"][0]: (np.frombuffer(r["x"], np.int64), np.frombuffer(r["y"], np.float64)[0]) for r in self.answers.get((NUMBERS, order), [])}
+        numbers = {r["ids"][0]: (np.frombuffer(r["x"], np.int64), np.frombuffer(r["y"], np.float64)[0]) for r in self.answers.get((NUMBERS, order), [])}
         for i in np.flatnonzero(~plain):
-            f, m = known[int(grams.head[grams.runs[i]].view(np.int64))]
+            f, m = numbers[int(grams.head[grams.runs[i]].view(np.int64))]
             few[:, i], more[i], mass[i] = f[:KATZ], f[KATZ], m
-        seen = grams.seen
-        scale, weight = weights(model.d[order], seen[grams.runs], few, more, mass)
-        length = np.diff(np.append(grams.runs, len(seen)))
-        scale, weight = np.repeat(scale, length), np.repeat(weight, length)
-        d = model.d[order][np.where(n <= KATZ, n, 0)]
-        return grams, n, np.where(n > 0, scale * d * n / np.maximum(seen, 1), weight * p[grams.lower])
+        scale, weight = np.ones(len(below.key) + 1), np.zeros(len(below.key) + 1)
+        heads = grams.context[grams.runs]
+        scale[heads], weight[heads] = weights(model.d[order], grams.seen[grams.runs], few, more, mass)
+        return Known.of(model, order, below, grams.of_token, grams.key, n, grams.context, grams.lower, scale, weight)
+
+    def write(self, order: int, known: Known, below: Known) -> tuple:
+        """The row of an order. x: which tokens have an n-gram for the first time, and the n-grams of the others; y: counts;
+        z: scales and weights. N-grams are numbered as they come."""
+        at = np.empty(len(known.key), np.int64)
+        at[known.of_token[::-1]] = np.arange(len(self.place))[::-1]  # the first one is written last
+        new = np.zeros(-(-len(self.place) // 32) * 32, bool)
+        new[at] = True
+        number = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        old = np.flatnonzero(~new[: len(self.place)])
+        n = np.empty(len(at), np.int64)
+        n[number[at]] = known.n
+        backs_off = np.zeros(len(known.weight), bool)
+        backs_off[self.before(below)[at[known.n == 0]]] = True
+        return (self.id, KNOWN, order, None, None, pack(np.packbits(new).view(np.int32), number[at[known.of_token[old]]]), pack(n), pack(known.scale, np.where(backs_off, known.weight, 0.0)))
+
+    def read(self, model: Model, order: int, below: Known) -> Known:
+        """What ``write`` wrote."""
+        (row,) = self.answers[KNOWN, order]
+        bits, old = unpack(row["x"], np.int32, 2)
+        scale, weight = unpack(row["z"], np.float64, 2)
+        new = np.unpackbits(bits.view(np.uint8), count=len(self.place)).view(bool)
+        at, of_token = np.flatnonzero(new), np.cumsum(new) - 1
+        of_token[~new] = old
+        context, (n,) = self.before(below)[at], unpack(row["y"], np.int64)
+        key = Grams.hashed(np.append(below.key, BEGIN)[context], self.words[self.place[at]])
+        return Known.of(model, order, below, of_token, key, n, context, below.of_token[at], scale, weight)
 
 
 def weights(d: np.ndarray, seen: np.ndarray, few: np.ndarray, more: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For contexts: the scale of seen n-grams and the backoff weight of others."""
-    c = np.arange(1, KATZ + 1)[:, None]
-    kept = (d[1:, None] * c * few).sum(axis=0) + more
-    scale = np.where((few * (1 - d[1:, None]) > 0).any(axis=0), 1.0, seen / (seen + 1.0))
+    kept, rare = np.zeros(len(seen)), np.zeros(len(seen), bool)
+    for c in range(1, KATZ + 1):
+        kept += d[c] * c * few[c - 1]
+        if d[c] < 1:
+            rare |= few[c - 1] > 0
+    kept += more
+    scale = np.where(rare, 1.0, seen / (seen + 1.0))
     with np.errstate(divide="ignore", invalid="ignore"):
         left = 1 - scale * kept / seen
         weight = np.where(seen > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
@@ -334,10 +399,11 @@ def deal_grams(model: Model, order: int, turn: int):
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(table, answers)
-        below, counts, p = c.up_to(model, order - 1)
-        g = Grams(c, below, counts, model, turn, turns)
+        below = c.up_to(model, order - 1)
+        g = Grams(c, below, model, turn, turns)
         n = np.bincount(g.of_token[c.training[g.tokens]], minlength=len(g.key)).astype(np.int64)
-        lower = np.where(n > 0, p[g.lower], 0.0)
+        lower, trained = np.zeros(len(n)), np.flatnonzero(n)
+        lower[trained] = below.p(g.lower[trained])
         out = []
         starts = np.flatnonzero(np.append(True, (g.part[1:] != g.part[:-1]) | (g.frequent[1:] != g.frequent[:-1]))[: len(g.key)])
         for a, b in zip(starts, np.append(starts, len(g.key))[1:], strict=True):
@@ -408,19 +474,31 @@ def numbers_of_contexts(made: DataFrame) -> DataFrame:
     return wanted.join(found, "h").select("chunk", F.lit(NUMBERS).alias("kind"), "level", F.lit(None).cast("int").alias("part"), F.array("h").alias("ids"), "x", "y", F.lit(None).cast("binary").alias("z"))
 
 
+def write_order(model: Model, order: int):
+    """What a chunk knows of the orders up to the one that was answered: a row for each."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(table, answers)
+        below = c.up_to(model, order - 1)
+        lower = [tuple(v.to_pybytes() if isinstance(v := r[k], pa.Buffer) else v for k in SCHEMA.names) for level in range(1, order) for r in c.answers.get((KNOWN, level), [])]
+        return rows([*(lower or [(c.id, KNOWN, 1, None, None, pack(below.n), None, None)]), c.write(order, c.answered(model, order, below), below)])
+
+    return run
+
+
 RESULT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def evaluate(model: Model, order: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(table, answers)
-        grams, _, p = c.up_to(model, order)
-        of_token, docs, own = c.place if grams is None else grams.of_token, len(c.sizes), c.own
-        doc, n = c.doc[own], c.word_counts()[c.place][own]
+        found, docs, own = c.up_to(model, order), len(c.sizes), c.own
+        doc, n = np.repeat(np.arange(docs), c.sizes)[own], c.up_to(model, 1).n[c.place][own]
+        log_p = np.concatenate([np.log10(found.p(np.arange(a, min(a + STEP, len(found.key))))) for a in range(0, len(found.key), STEP)])
         return pa.table({
             "row": pa.array(c.numbers, pa.int64()), "doc_id": pa.array(c.ids, pa.int64()), "held_out": pa.array(c.fold == 2), "n_tokens": np.bincount(doc, minlength=docs),
             "n_known": np.bincount(doc[n > 0], minlength=docs), "base_score": np.bincount(doc, np.log10((n + 0.5) / (model.words.n + 0.5 * (model.words.v + 1))), docs),
-            "score": np.bincount(doc, np.log10(p)[of_token][own], docs),
+            "score": np.bincount(doc, log_p[found.of_token][own], docs),
         })
 
     return run
@@ -428,22 +506,23 @@ def evaluate(model: Model, order: int):
 
 def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    with bucketed(chunks(documents, order), "chunk") as told:
-        return _score(documents, told, order)
+    with contextlib.ExitStack() as tables:
+        return _score(documents, order, tables)
 
 
-def _score(documents: DataFrame, told: DataFrame, order: int) -> DataFrame:
+def _score(documents: DataFrame, order: int, tables: contextlib.ExitStack) -> DataFrame:
     spark = documents.sparkSession
+    told = tables.enter_context(bucketed(chunks(documents, order), "chunk"))
     sizes = told.select(F.count("*").alias("chunks"), F.sum(F.octet_length("x")).alias("bytes")).first()
     if not sizes["chunks"]:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     texts = documents.where(crc_fold("doc_id", FOLDS) != HELD_OUT).count()
     # Distinct words of all chunks are about a quarter of the tokens.
     parts = max(16, -(-(sizes["bytes"] // 2) // TOKENS_PER_PART))
-    made = materialize(deal_words(told, parts).groupBy("part").applyInArrow(lambda part: freed(add_words(part)), ROW))
-    sums = _sums(made, KATZ + 3)
+    words = materialize(deal_words(told, parts).groupBy("part").applyInArrow(lambda part: freed(add_words(part)), ROW))
+    sums = _sums(words, KATZ + 3)
     model = Model(WordModel.of(int(sums[0]), int(sums[1]), texts, np.append(0, sums[2:])), parts)
-    answers = made.where(f"kind = {WORD_ANSWER}")
+    answers = words.where(f"kind = {WORD_ANSWER}")
 
     def added(level: int):
         add = add_grams(level)
@@ -465,6 +544,11 @@ def _score(documents: DataFrame, told: DataFrame, order: int) -> DataFrame:
             made = made.unionAll(t)
         numbers = materialize(numbers_of_contexts(made))
         answers = answers.unionAll(made.where(F.col("kind").isin(ANSWER, FREQUENT_ANSWER))).unionAll(numbers)
+        if level < order:
+            answers = tables.enter_context(bucketed(of_chunks(write_order(model, level), ROW), "chunk"))
+            for t in (words, *turns, numbers):
+                discard(t)
+            words = None
     pieces = materialize(of_chunks(evaluate(model, order), RESULT))
     return pieces.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
@@ -489,4 +573,4 @@ def _sums(made: DataFrame, n: int = KATZ + 1) -> np.ndarray:
     return np.array([r["n"] for r in found] or [0] * n, np.int64)
 
 
-__all__ = ["Chunk", "Grams", "Model", "WordModel", "chunks", "discounts", "score", "weights"]
+__all__ = ["Chunk", "Grams", "Known", "Model", "WordModel", "chunks", "discounts", "score", "weights"]

@@ -257,6 +257,47 @@ def test_katz_pieces_of_long_texts(spark, monkeypatch):
         assert (two.words[two.place][:2] == one.words[one.place][-2:]).all() and two.own[:3].tolist() == [False, False, True]
 
 
+def test_katz_lower_orders_are_not_made_or_shuffled_again(spark, monkeypatch):
+    """Turns of the last order read what chunks wrote of the order below: only bigram turns and the end shuffle answers."""
+    shuffled, real = [], lm.materialize
+
+    def seen(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "FlatMapCoGroupsInArrow" in plan:
+            shuffled.append(plan.count("Exchange hashpartitioning(chunk#"))
+        return real(df)
+
+    monkeypatch.setattr(lm, "materialize", seen)
+    frame = table(spark, "/root/testdata/sf0.001", "documents").where("doc_id < 60")
+    assert lm.score(frame).count() == frame.count()
+    assert shuffled == [1] * lm.TURNS[2] + [0] * lm.TURNS[3] + [1]
+
+
+def test_katz_written_order_reads_back():
+    """Repeated n-grams, contexts that training texts have or not, a one-token text, and a text that goes on from another chunk."""
+    rnd = np.random.default_rng(3)
+    known = np.unique(rnd.integers(0, 1 << 63, 41).astype(np.uint64))
+    sizes = np.array([[900, 1, 300, 70], [2, 0, 0, 0], [1, 1, 2, 0], [0, 1, 1, 1]], np.int32)
+    place = (np.minimum(rnd.geometric(0.1, 1271), len(known)) - 1).astype(np.int32)
+    row = (7, lm.CHUNK, None, None, [0, 1, 2, None, 3, 4, 5, 6], known.tobytes(), lm.pack(place), lm.pack(*sizes))
+    c = lm.Chunk(lm.rows([row]))
+    assert c.own.tolist() == [False] * 2 + [True] * 1269 and c.training.sum() == 899
+    n = c.training_counts(c.place, len(known)).astype(np.int64)
+    model = lm.Model(lm.WordModel.of(int(n.sum()), int((n > 0).sum()), 2, np.bincount(n, minlength=7)[:7]), 3)
+    c.answers[lm.WORD_ANSWER, None] = [{"x": lm.pack(n)}]
+    below = c.up_to(model, 1)
+    grams = lm.Grams(c, below, model)
+    count = np.bincount(grams.of_token[c.training], minlength=len(grams.key)).astype(np.int64)
+    model.d[2] = np.array([1, 0.4, 0.6, 0.7, 0.8, 0.9])
+    scale, weight = rnd.random(len(known) + 1), rnd.random(len(known) + 1)
+    made = lm.Known.of(model, 2, below, grams.of_token, grams.key, count, grams.context, grams.lower, scale, weight)
+    got = lm.Chunk(lm.rows([row]), lm.rows([c.write(2, made, below), (7, lm.KNOWN, 1, None, None, lm.pack(n), None, None)])).up_to(model, 2)
+    assert 0 < (count == 0).sum() < len(count) < len(place) and len(got.key) == len(made.key)
+    for f in ("key", "n"):
+        assert (getattr(got, f)[got.of_token] == getattr(made, f)[made.of_token]).all()
+    assert (got.p(got.of_token) == made.p(made.of_token)).all()
+
+
 def test_katz_edges(docs):
     frame = docs([None, "", "a a a a", "A a b", "b " * 5000, "b c"], [0, 1, 2, 3, None, 9])
     got = lm.score(frame).collect()
